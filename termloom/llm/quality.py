@@ -3,7 +3,7 @@
 Words are runs of letters (lower-cased), of digits or of symbols, and each run of letters also gives a word for
 its case. Each of ``BUCKETS`` hashed words has a sparse random index vector. A word's vector is its index vector
 plus the sum, over a bounded sample of labelled documents, of the index vectors near it, scaled to length one. A
-document is the mean of its words' vectors with two numbers on its length and spread. A two-layer numpy network
+document is the mean of its words' vectors with a few numbers on its length, spread and repeats. A two-layer numpy network
 learns the label from the sample; a temperature, fitted on documents it has not learned from, calibrates its
 probabilities.
 
@@ -76,8 +76,8 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(words: Words, table: np.ndarray) -> np.ndarray:
-    """A row per text: the mean vector, its length, and the logarithm of the number of words. ``table`` has a
-    fixed-point vector per bucket."""
+    """A row per text: the mean vector, its length, the logarithm of the number of words, and the shares of words
+    that are new to the text and that repeat the word before. ``table`` has a fixed-point vector per bucket."""
     buckets, lengths = word_buckets(words.unique)
     texts, sums = len(words.offsets) - 1, np.zeros((len(words.offsets) - 1, DIMENSIONS), np.int64)
     if len(words.index):
@@ -90,7 +90,12 @@ def pooled(words: Words, table: np.ndarray) -> np.ndarray:
     n = words.sums(lengths)
     mean = sums / (np.maximum(n, 1) * float(SCALE))[:, None]
     norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
-    return np.concatenate([mean, norm, np.log1p(n)[:, None] / 8], axis=1)
+    count = np.maximum(words.counts, 1)
+    owner = np.repeat(np.arange(texts), words.counts)
+    new = np.bincount(np.unique(owner * max(1, len(words.unique)) + words.index) // max(1, len(words.unique)), minlength=texts)
+    again = (np.diff(words.index) == 0) & (np.diff(owner) == 0)
+    repeats = np.bincount(owner[1:][again], minlength=texts)
+    return np.concatenate([mean, norm, np.stack([np.log1p(n) / 8, new / count, repeats / count], axis=1)], axis=1)
 
 
 def context_sums(words: Words, index: np.ndarray) -> np.ndarray:
