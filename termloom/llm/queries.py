@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm.common import table
 from termloom.llm.exact_dedup import exact_dedup
+from termloom.llm.language import identify_language
+from termloom.llm.line_dedup import line_dedup
 from termloom.llm.mixing import mix
+from termloom.llm.neighbours import nearest
 from termloom.llm.packing import pack
+from termloom.llm.quality import score_quality
+from termloom.llm.token_counts import token_counts
 from termloom.llm.url_filter import url_filter
 
 URL_RULES = [
@@ -22,6 +27,49 @@ URL_RULES = [
 ]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "text", "lines", "dropped")
+
+
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents
+), split AS (
+  SELECT doc_id, line, place, list_filter(regexp_split_to_array(line, '\s+'), lambda t: t <> '') AS words FROM lines
+), masked AS (
+  SELECT doc_id, line, place, len(words) AS n, len(words) // 3 AS third,
+         list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
+  FROM split
+), runs AS (
+  SELECT *, array_to_string(t[1:2], ' ') AS head, array_to_string(t[1:third], ' ') AS a,
+         array_to_string(t[third + 1:2 * third], ' ') AS b, array_to_string(t[2 * third + 1:n], ' ') AS c
+  FROM masked WHERE n > 0
+), keys AS (
+  SELECT doc_id, place, n, unnest(CASE WHEN n >= 9
+    THEN ['3|' || a || '|' || b || '|' || c, '0|' || head || '|' || b || '|' || c, '1|' || head || '|' || a || '|' || c,
+          '2|' || head || '|' || a || '|' || b]
+    ELSE ['3|' || a || '|' || b || '|' || c] END) AS key
+  FROM runs
+), recurring AS (
+  SELECT n, key, min(doc_id) AS first_doc FROM keys
+  GROUP BY n, key HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 2 ELSE 10 END
+), firsts AS (
+  SELECT n, key, doc_id, min(place) AS place FROM keys JOIN recurring USING (n, key) WHERE doc_id = first_doc GROUP BY n, key, doc_id
+), gone AS (
+  SELECT DISTINCT keys.doc_id, keys.place FROM keys JOIN firsts USING (n, key)
+  WHERE keys.doc_id <> firsts.doc_id OR keys.place <> firsts.place
+), marked AS (
+  SELECT lines.doc_id, lines.line, lines.place, gone.place IS NOT NULL AS went
+  FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.place = gone.place
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT went), '') AS text,
+       CAST(count(*) AS INTEGER) AS lines, CAST(count(*) FILTER (WHERE went) AS INTEGER) AS dropped
+FROM marked GROUP BY doc_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -69,15 +117,36 @@ FROM urls LEFT JOIN fits ON urls.page_id = fits.page_id AND place = 1
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).documents
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
+    "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op5_url_filter": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_url_filter": OP5_SQL}
