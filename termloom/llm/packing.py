@@ -15,9 +15,11 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,13 +28,22 @@ from termloom.llm.best_fit import best_fit_decreasing
 from termloom.llm.common import write_shared
 from termloom.llm.words import gather_runs, segment_sums, slices, split_words
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+
+
+#: Characters whose lower case, and place among letters, digits and others, are beyond doubt. The apostrophe is
+#: left out, as the tokenizer cuts contractions at it, and so is what special tokens start with.
+UNSAFE = "[^ \\t\\n\\r\\f!-&(-~À-ÖØ-öø-į]|<\\|"
+APART = "([0-9]|[^ \\t\\n\\r\\fa-zß-öø-į0-9]+)"
 
 
 class WordTokenizer:
-    """Ids of whole texts, for a tokenizer that never joins what white space separates.
+    """Ids of whole texts, for a tokenizer that lower-cases, drops white space and encodes runs of letters, single
+    digits and runs of other characters apart.
 
-    Each different word is encoded once and kept, up to ``CACHED_WORDS`` of them; then the store starts anew.
+    Texts of plain characters are cut into these parts, which recur far more than words do; other texts are cut
+    at white space only. Each different part or word is encoded once and kept, up to ``CACHED_WORDS`` of them;
+    then the store starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,30 +51,53 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 20, "<u4")
+        self.ends = np.zeros(1 << 18, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        number = len(self.known)
+        start = int(self.ends[number - 1]) if number else 0
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(lengths.sum())
+        while number + len(new) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while start + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ends[number : number + len(new)] = start + np.cumsum(lengths)
+        self.ids[start : start + total] = np.fromiter(chain.from_iterable(lists), "<u4", total)
+        self.known.update(zip(new, range(number, number + len(new)), strict=True))
 
     def words(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and how many each word has."""
+        """Where the ids of each word start in ``self.ids``, and how many it has."""
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self._clear()
         new = [word for word in unique if word not in self.known]
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, dtype="<u4")
-        ids = [self.known[word] for word in unique]
-        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        return starts, self.ends[at] - starts
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end_id`` after it, in one array; and the texts' offsets there."""
-        words = split_words(texts)
-        ids, lengths = self.words(words.unique)
-        starts = np.cumsum(lengths) - lengths
+        texts = pc.fill_null(texts, "")
+        unsafe = pc.match_substring_regex(texts, UNSAFE)
+        plain = pc.utf8_lower(pc.if_else(unsafe, "", texts))
+        parts = pc.replace_substring_regex(plain, APART, r" \1 ")
+        words = split_words(pc.if_else(unsafe, texts, parts))
+        starts, lengths = self.words(words.unique)
         per_word = lengths[words.index]
         counts = segment_sums(per_word, words.offsets) + 1
         offsets = np.concatenate([[0], np.cumsum(counts)])
         out = np.full(offsets[-1], end_id, dtype="<u4")
         inside = np.ones(offsets[-1], dtype=bool)
         inside[offsets[1:] - 1] = False
-        out[inside] = ids[gather_runs(starts[words.index], per_word)]
+        out[inside] = self.ids[gather_runs(starts[words.index], per_word)]
         return out, offsets
 
 
