@@ -13,6 +13,7 @@ from termloom.llm.language import identify_language
 from termloom.llm.line_dedup import line_dedup
 from termloom.llm.mixing import mix
 from termloom.llm.neighbours import nearest
+from termloom.llm.ngram_join import ngram_join
 from termloom.llm.packing import pack
 from termloom.llm.quality import score_quality
 from termloom.llm.token_counts import token_counts
@@ -70,6 +71,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -139,6 +144,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
