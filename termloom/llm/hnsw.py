@@ -94,13 +94,12 @@ class Graph:
     links: list[np.ndarray]
 
     def __post_init__(self) -> None:
-        self.square = np.einsum("nd,nd->n", self.vectors, self.vectors)
         n = len(self.vectors)
         self.padded = [np.where(layer < 0, n, layer) for layer in self.links]
 
     def search(self, query: np.ndarray, beam: int) -> list[int]:
         """Up to ``beam`` near nodes, nearest first."""
-        at = [(float(self.square[0] - 2 * (self.vectors[0] @ query)), 0)]
+        at = [(float(((self.vectors[0] - query) ** 2).sum()), 0)]
         for layer in reversed(self.padded[1:]):
             at = self._beam(query, at, layer, 1)
         return [node for _, node in sorted(self._beam(query, at, self.padded[0], beam))]
@@ -120,7 +119,8 @@ class Graph:
             if not len(near):
                 continue
             seen[near] = True
-            gaps = self.square[near] - 2 * (self.vectors[near] @ query)
+            gaps = self.vectors[near] - query
+            gaps = np.einsum("nd,nd->n", gaps, gaps)
             if len(found) >= beam:
                 closer = gaps < worst
                 near, gaps = near[closer], gaps[closer]
@@ -139,7 +139,7 @@ class Graph:
 
 def build(vectors: np.ndarray, level: np.ndarray, links: int = 16, width: int = 64) -> Graph:
     """Graph of ``vectors``, which must be sorted by descending ``level``."""
-    vectors = vectors.astype(np.float32)
+    vectors = vectors.astype(np.float64)  # 32-bit products lose the distances within a dense cluster
     layers = []
     for layer in range(int(level[0]) + 1 if len(level) else 1):
         n = int((level >= layer).sum())

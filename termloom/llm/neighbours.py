@@ -46,13 +46,12 @@ def _search(k: int, beam: int, dtype: str):
         for _, shard in index.iterrows():
             vectors = np.frombuffer(shard["vectors"], dtype).reshape(-1, shard["dim"])
             links = [np.frombuffer(b, np.int32).reshape(n, -1) for n, b in zip(shard["sizes"], shard["links"], strict=True)]
-            graph = hnsw.Graph(vectors.astype(np.float32), links)
+            graph = hnsw.Graph(vectors.astype(np.float64), links)
             ids, ends = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["ends"], np.int64)
-            exact = vectors.astype(np.float64)
             for query_id, vector in zip(queries["query_id"], queries["vector"], strict=True):
                 query = np.asarray(vector, np.float64)
-                nodes = np.array(graph.search(query.astype(np.float32), beam), np.int64)
-                gaps = np.sqrt(((exact[nodes] - query) ** 2).sum(axis=1))
+                nodes = np.array(graph.search(query, beam), np.int64)
+                gaps = np.sqrt(((graph.vectors[nodes] - query) ** 2).sum(axis=1))
                 hits: list[tuple[float, int]] = []
                 for node, gap in sorted(zip(nodes.tolist(), gaps.tolist(), strict=True), key=lambda x: x[1]):
                     if len(hits) >= k and gap > hits[k - 1][0]:
@@ -75,7 +74,7 @@ def nearest(
     query_block: int = 2048,
     links: int = 16,
     width: int = 64,
-    beam: int = 256,
+    beam: int = 160,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_mod``, its ``k`` nearest.
 
