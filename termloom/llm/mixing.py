@@ -159,14 +159,14 @@ def mix(
         words.setdefault(no, {})[block] = n
     draws = [draw_blocks(words.get(i, {}), blocks[i], goal[i], _seed("order", seed, i)) for i in range(len(totals))]
 
-    # The boundary block of each source gives one row: documents up to a place in the hashed order, and a few
-    # more that still fit. A block holds about block_docs documents, or a total_blocks-th of the corpus.
+    # The boundary block of each source gives one row: documents up to a place in the hashed order, but for a few
+    # exchanged so that the sum fits. A block holds about block_docs documents, or a total_blocks-th of the corpus.
     edge = [(i, d.order[d.whole], d.rest) for i, d in enumerate(draws) if d.rest > 0]
     edges = spark.createDataFrame(edge, "source_no int, block int, rest double")
     fitted = known.join(F.broadcast(edges), ["source_no", "block"]).select("source_no", "draw", "size", "rest")
-    fits = {r.source_no: r for r in fitted.groupBy("source_no").applyInPandas(_fit, "source_no int, upto long, extra array<long>").collect()}
-    kept = [(i, fits[i].upto if i in fits else None, fits[i].extra if i in fits else []) for i in range(len(draws))]
-    kept = F.broadcast(spark.createDataFrame(kept, "source_no int, upto long, extra array<long>"))
+    fits = {r.source_no: r for r in fitted.groupBy("source_no").applyInPandas(_fit, FITTED).collect()}
+    kept = [tuple(fits[i]) if i in fits else (i, None, [], []) for i in range(len(draws))]
+    kept = F.broadcast(spark.createDataFrame(kept, FITTED))
 
     shares = split_quotas([d.passes * len(d.order) + d.whole + (d.rest > 0) for d in draws], shards, seed)
     ends = np.cumsum(shares, axis=0)
@@ -186,7 +186,8 @@ def mix(
 
     def drawn(rows: DataFrame) -> DataFrame:
         placed = in_blocks(rows).join(per_block, ["source_no", "block"], "left").join(kept, "source_no", "left")
-        fit = F.coalesce((F.col("draw") <= F.col("upto")) | F.array_contains("extra", F.col("draw")), F.lit(False))
+        before = (F.col("draw") <= F.col("upto")) & ~F.array_contains("less", F.col("draw"))
+        fit = F.coalesce(before, F.lit(False)) | F.array_contains("extra", F.col("draw"))
         none = F.array().cast("array<struct<pass: int, shard: int, partly: boolean>>")
         return placed.withColumn("fit", fit).withColumn("items", F.coalesce("items", none)).withColumn("items", F.expr("filter(items, i -> not i.partly or fit)"))
 
@@ -196,29 +197,42 @@ def mix(
     return Mixer(documents, copies)
 
 
-#: Documents of a boundary block that may be taken besides those up to one place in the order.
+#: Documents of a boundary block that may differ from those up to one place in the order.
 EXTRA = 64
+FITTED = "source_no int, upto long, extra array<long>, less array<long>"
 
 
 def _fit(block: pd.DataFrame) -> pd.DataFrame:
-    """First fit in the order of ``draw``, then the one that brings the sum nearest; rows that share a ``draw``
-    count together."""
+    """First fit in the order of ``draw``, then swaps and additions that bring the sum nearer; rows that share a
+    ``draw`` count together."""
     groups = block.groupby("draw", sort=True)["size"].sum()
-    left, draws, sizes = float(block["rest"].iloc[0]), groups.index.to_numpy(), groups.to_numpy()
-    prefix = int(np.searchsorted(np.cumsum(sizes), left, side="right"))
-    left -= float(sizes[:prefix].sum())
-    extra: list[int] = []
-    for draw, size in zip(draws[prefix:], sizes[prefix:], strict=True):
-        if size <= left and len(extra) < EXTRA:
-            extra.append(int(draw))
-            left -= float(size)
-    open_to = np.setdiff1d(np.arange(prefix, len(draws)), np.flatnonzero(np.isin(draws, extra)))
-    if len(open_to):
-        nearest = open_to[np.argmin(np.abs(sizes[open_to] - left))]
-        if abs(sizes[nearest] - left) < left:
-            extra.append(int(draws[nearest]))
+    draws, sizes = groups.index.to_numpy(), groups.to_numpy().astype(np.float64)
+    prefix = int(np.searchsorted(np.cumsum(sizes), float(block["rest"].iloc[0]), side="right"))
+    left = float(block["rest"].iloc[0]) - float(sizes[:prefix].sum())
+    chosen = np.arange(len(draws)) < prefix
+    for at in range(prefix, len(draws)):
+        if 0 < sizes[at] <= left and chosen[prefix:].sum() < EXTRA // 2:
+            chosen[at] = True
+            left -= sizes[at]
+    for _ in range(EXTRA // 4):
+        # Out of and into the choice; place -1 stands for none.
+        out, into = ([-1, *np.flatnonzero(side).tolist()] for side in (chosen, ~chosen))
+        gain_out, gain_in = (np.array([0.0, *sizes[side[1:]]]) for side in (out, into))
+        order = np.argsort(gain_in, kind="stable")
+        near = np.searchsorted(gain_in[order], left + gain_out)
+        tries = [(o, order[k]) for o, n in enumerate(near) for k in (n - 1, n) if 0 <= k < len(order)]
+        o, i = min(tries, key=lambda t: abs(left + gain_out[t[0]] - gain_in[t[1]]))
+        new = left + gain_out[o] - gain_in[i]
+        if abs(new) >= abs(left) - 0.5:
+            break
+        left = new
+        if out[o] >= 0:
+            chosen[out[o]] = False
+        if into[i] >= 0:
+            chosen[into[i]] = True
     upto = int(draws[prefix - 1]) if prefix else None
-    return pd.DataFrame({"source_no": [block["source_no"].iloc[0]], "upto": pd.array([upto], dtype="Int64"), "extra": [extra]})
+    more, less = draws[prefix:][chosen[prefix:]].tolist(), draws[:prefix][~chosen[:prefix]].tolist()
+    return pd.DataFrame({"source_no": [block["source_no"].iloc[0]], "upto": pd.array([upto], dtype="Int64"), "extra": [more], "less": [less]})
 
 
 def mixed_documents(mixer: Mixer, columns: list[str], shuffle: bool = True) -> DataFrame:
