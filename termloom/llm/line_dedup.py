@@ -52,14 +52,16 @@ def parse_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, min_t
 def recurring_lines(lines: DataFrame, long_tokens: int, min_docs_long: int, min_docs: int) -> DataFrame:
     """(doc_id, doc, place) of the lines to drop."""
     spread = lines.select("n", F.explode("keys").alias("key"), "doc").groupBy("n", "key")
-    # Only templates that two documents have are looked at closer.
+    # Only templates that two documents have are looked at closer. This and the next table are written, so that the
+    # joins with them shuffle both sides and Spark can split a template that very many lines have.
     shared = spread.agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("n", "key")
+    shared = write_shared(shared, "line-shared")
     seen = lines.select("doc_id", "doc", "place", "n", F.explode("keys").alias("key")).join(shared, ["n", "key"])
     seen = write_shared(seen, "line-seen")
     by_doc = seen.groupBy("n", "key", "doc").agg(F.min(F.struct("doc_id", "doc", "place")).alias("first"))
     enough = F.when(F.col("n") >= long_tokens, min_docs_long).otherwise(min_docs)
     recurring = by_doc.groupBy("n", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
-    recurring = recurring.where(F.col("docs") >= enough).select("n", "key", "first")
+    recurring = write_shared(recurring.where(F.col("docs") >= enough).select("n", "key", "first"), "line-recurring")
     later = ~F.struct("doc_id", "doc", "place").eqNullSafe(F.col("first"))
     return seen.join(recurring, ["n", "key"]).where(later).select("doc_id", "doc", "place").distinct()
 
