@@ -75,6 +75,38 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+#: Every pair that shares an n-gram is compared here: right for small tables only.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents
+), texts AS (
+  SELECT doc_id, w, len(w) AS n, array_to_string(w, ' ') AS t FROM words
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, n - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM texts WHERE n >= 5
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), near AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE common >= 0.8 * (a.size + b.size - common) - 1e-9
+), same AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM texts a JOIN texts b ON a.t = b.t AND a.doc_id <> b.doc_id
+), linked AS (
+  SELECT x, y FROM near UNION SELECT x, y FROM same
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM texts UNION SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x
+), classes AS (
+  SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_docs FROM reach GROUP BY x
+), copies AS (
+  SELECT t, count(*) - 1 AS copies FROM texts GROUP BY t
+), links AS (
+  SELECT x AS doc_id, count(*) AS links FROM linked GROUP BY x
+)
+SELECT doc_id, class_id, class_docs, copies, CAST(coalesce(links, 0) AS BIGINT) AS links, doc_id = class_id AS keeps
+FROM texts JOIN classes USING (doc_id) JOIN copies USING (t) LEFT JOIN links USING (doc_id)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -155,4 +187,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_url_filter": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_url_filter": OP5_SQL}
