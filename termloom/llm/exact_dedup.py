@@ -16,7 +16,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ascii_lower, text_or_empty, write_shared
+from termloom.llm.common import ascii_lower, literal_rows, text_or_empty, write_shared
 
 
 def build_directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int], list[int]]:
@@ -86,7 +86,7 @@ def exact_dedup(
     counts = {row[0]: row[1] for row in entries.groupBy(leading.alias("slot")).count().collect()}
     depth, slots, _ = build_directory(counts, bucket_capacity, max_depth)
     # At most 2 ** max_depth rows of two numbers, whatever the input: it may be broadcast.
-    directory = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    directory = literal_rows(spark, [{"slot": i, "bucket": b} for i, b in enumerate(slots)], "slot long, bucket int")
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     owned = entries.withColumn("slot", slot).join(F.broadcast(directory), "slot").repartitionByRange("bucket")
     chained = Window.partitionBy("bucket", "key").orderBy("sha")

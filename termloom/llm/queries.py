@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm.common import table
+from termloom.llm.common import literal_rows, table
 from termloom.llm.exact_dedup import exact_dedup
 from termloom.llm.language import identify_language
 from termloom.llm.line_dedup import line_dedup
@@ -128,7 +128,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = literal_rows(spark, [dict(zip(("host", "path", "verdict"), r, strict=True)) for r in URL_RULES], "host string, path string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
