@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.plans.query import Query, any_of
@@ -58,27 +59,42 @@ def similarity(index: Index, algorithm: Algorithm, bag: dict[str, int], query: Q
 def _bm25(index: Index, algorithm: BM25, tf: Column, idf: Column, doc_len: Column) -> Column:
     share = doc_len / F.lit(index.mean_len) if index.mean_len else F.lit(0.0)
     divisor = tf + F.lit(algorithm.k1) * (F.lit(1.0 - algorithm.b) + F.lit(algorithm.b) * share)
-    weight = F.ln(idf.cast("double")).cast("float").cast("double")
+    weight = F.ln(idf).cast("float").cast("double")
     part = weight * (tf * F.lit(algorithm.k1 + 1.0)) / F.nullif(divisor, F.lit(0.0))
     return F.when(divisor == 0, F.lit(float("nan"))).otherwise(part)
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of literals, which Spark evaluates and broadcasts without a job."""
+    names, types = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    width = len(types)
+    args = {f"p{i}": v for i, v in enumerate(v for row in rows for v in row)}
+    cells = [f"CAST(:p{i} AS {types[i % width]})" for i in range(len(args))]
+    values = ", ".join(f"({', '.join(cells[i : i + width])})" for i in range(0, len(cells), width))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})", args=args)
+
+
 def _scored(index: Index, algorithm: Algorithm, bag: dict[str, int], query: Query) -> DataFrame:
     spark = index.docs.sparkSession
-    terms = sorted(set(query.leaves()) | set(bag))
-    asked = spark.createDataFrame([(t, bag.get(t, 0)) for t in terms], "term string, q bigint")
+    leaves = sorted(set(query.leaves()))
+    terms = sorted(set(leaves) | set(bag))
+    rows = [(t, bag.get(t, 0), df) for t, df in index.known(terms).items()]
+    coded = _local(spark, rows, "term string, q long, df long")
+    idf = index.engine.idf(F.lit(index.corpus.doc_num), F.col("df")).cast("double")
+    weights = [tuple(r) for r in coded.select("term", index.read_tf(F.col("q")).cast("double"), idf).collect()]
     # As many rows as the query has terms.
-    weights = asked.join(index.idf(terms), "term").select("term", index.read_tf(F.col("q")).cast("double").alias("q"), F.col("idf").cast("double").alias("w"), "idf")
-    found = index.of_terms(terms).join(F.broadcast(weights), "term")
+    asked = F.broadcast(_local(spark, weights, "term string, q double, w double"))
+    found = index.of_terms([w[0] for w in weights]).join(asked, "term")
     tf, doc_len = index.read_tf(F.col("tf")).cast("double"), F.col("doc_len")
-    in_bag = F.col("q") > 0 if not isinstance(algorithm, BM25) else F.col("term").isin(sorted(bag))
-    flags = {t: f"has_{i}" for i, t in enumerate(terms)}
-    wanted = [F.bool_or(F.col("term") == t).alias(flags[t]) for t in sorted(set(query.leaves()))]
     if isinstance(algorithm, BM25):
-        part = _bm25(index, algorithm, tf, F.col("idf"), doc_len)
+        part = F.when(F.col("term").isin(sorted(bag)), _bm25(index, algorithm, tf, F.col("w"), doc_len)).otherwise(0.0)
     else:
         part = F.col("q") * tf * F.col("w") * F.col("w")
-    sums = [F.sum(F.when(in_bag, part).otherwise(0.0)).alias("sum"), F.max("doc_len").alias("doc_len")]
+    flags = {t: f"has_{i}" for i, t in enumerate(leaves)}
+    wanted = [F.bool_or(F.col("term") == t).alias(flags[t]) for t in leaves]
+    sums = [F.sum(part).alias("sum"), F.max("doc_len").alias("doc_len")]
     if isinstance(algorithm, Cosine) and index.normed:
         sums.append(F.max("norm").alias("norm"))
     matched = found.groupBy("key").agg(*sums, *wanted)
@@ -91,7 +107,7 @@ def _scored(index: Index, algorithm: Algorithm, bag: dict[str, int], query: Quer
     if isinstance(algorithm, Cosine):
         if not index.normed:
             hits = hits.join(index.norms(), "key", "left")
-        length = weights.agg(F.coalesce(F.sqrt(F.sum(F.pow(F.col("q") * F.col("w"), 2))), F.lit(0.0))).first()[0]
+        length = math.sqrt(sum((q * w) ** 2 for _, q, w in weights))
         score = score / (F.lit(length) * F.coalesce("norm", F.lit(0.0)) + F.lit(EPSILON))
     return hits.select("key", score.alias("score"), "doc_len")
 

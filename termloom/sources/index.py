@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from termloom.functions.weights import EXACT, Engine
 from termloom.operators.corpus import Corpus
 
 
+KEPT_TERMS = 100_000
+
+
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
@@ -39,6 +42,7 @@ class Index:
     normed: bool = False
     doc_num: int = 0
     mean_len: float = 0.0
+    frequencies: dict[str, int | None] = field(default_factory=dict, compare=False)
 
     @staticmethod
     def build(rows: DataFrame, key: str, text: str | None = None, terms: str | None = None, corpus: Corpus | None = None, engine: Engine = EXACT) -> Index:
@@ -74,20 +78,29 @@ class Index:
 
     def with_corpus(self, corpus: Corpus) -> Index:
         """The same documents under other statistics."""
-        return replace(self, corpus=corpus, normed=False)
+        return replace(self, corpus=corpus, normed=False, frequencies={})
 
     def with_engine(self, engine: Engine) -> Index:
         return replace(self, engine=engine, normed=False)
 
-    def idf(self, terms: Iterable[str] | None = None) -> DataFrame:
-        """(term, df, idf) of all terms of the vocabulary, or of those of a few terms that it has."""
-        vocab, held = self.vocab, self.corpus.terms
-        if terms is not None:
-            vocab, held = (t.where(F.col("term").isin(sorted(set(terms)))) for t in (vocab, held))
+    def idf(self) -> DataFrame:
+        """(term, df, idf) of all terms of the vocabulary."""
         df = F.coalesce("df", F.lit(0)).cast("long")
-        joined = vocab.join(held, "term", "left").select("term", df.alias("df"))
+        joined = self.vocab.join(self.corpus.terms, "term", "left").select("term", df.alias("df"))
         return joined.withColumn("idf", self.engine.idf(F.lit(self.corpus.doc_num), F.col("df")))
 
+    def known(self, terms: Iterable[str]) -> dict[str, int]:
+        """Document frequencies of those of a query's terms that the vocabulary has. They are kept, up to
+        ``KEPT_TERMS`` of them, as the tables never change."""
+        new = sorted({t for t in terms if t not in self.frequencies})
+        if new:
+            if len(self.frequencies) > KEPT_TERMS:
+                self.frequencies.clear()
+            vocab, held = (t.where(F.col("term").isin(new)) for t in (self.vocab, self.corpus.terms))
+            found = {r.term: r.df or 0 for r in vocab.join(held, "term", "left").collect()}
+            self.frequencies.update({t: found.get(t) for t in new})
+        return {t: self.frequencies[t] for t in terms if self.frequencies.get(t) is not None}
+
     def read_tf(self, tf: Column) -> Column:
         """A count as the engine gives it back."""
         return self.engine.decode(self.engine.encode(tf))
