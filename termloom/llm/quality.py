@@ -1,34 +1,36 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Words are runs of letters (lower-cased), of digits or of symbols, and each run of letters also gives a word for
-its case. Each of ``BUCKETS`` hashed words has a sparse random index vector. A word's vector is its index vector
+Words are runs of letters (lower-cased), of digits or of symbols, and each also gives a word for its case. Each of ``BUCKETS`` hashed words has a sparse random index vector. A word's vector is its index vector
 plus the sum, over a bounded sample of labelled documents, of the index vectors near it, scaled to length one. A
 document is the mean of its words' vectors with a few numbers on its length, spread and repeats. A two-layer numpy network
 learns the label from the sample; a temperature, fitted on documents it has not learned from, calibrates its
 probabilities.
 
-Vectors are fixed-point integers, so that a document's sum is exact however batches are cut.
+Vectors are integers, so that a document's sum is exact however batches are cut.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import crc32_mod, write_shared
-from termloom.llm.words import Words, gather_runs, slices, split_words
+from termloom.llm.words import Words, slices, split_words
 
-BUCKETS, DIMENSIONS, NONZERO, NEAR = 1 << 14, 64, 8, 2
-SCALE = 1 << 12
-CHUNK = 1 << 15
-RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+BUCKETS, DIMENSIONS, NONZERO, NEAR = 1 << 13, 64, 8, 2
+#: Vectors are integers: SCALE stands for one. No component is above SCALE * (1 + sqrt(NONZERO)), so a 32-bit float
+#: holds the sum of PIECE of them exactly.
+SCALE, PIECE = 64, 1 << 15
+ROWS, CHUNK = 256, 1 << 14
+#: What is set apart from letters: runs of digits and of symbols.
+APART = r"(\p{N}+|[^\s\p{L}\p{N}]+)"
 
 
 def index_vectors(seed: int = 6) -> np.ndarray:
@@ -52,67 +54,67 @@ def _bucket(kind: str, word: str) -> int:
     return zlib.crc32(f"{kind} {word}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-CASES = {case: _bucket("case", case) for case in ("lower", "upper", "capital", "title", "mixed")}
+CASES = {case: _bucket("case", case) for case in ("lower", "upper", "capital", "title", "mixed", "none")}
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of what each space-separated word is made of, in one array, and how many each has (at least one)."""
-    buckets: list[int] = []
-    lengths = np.empty(len(words), np.int64)
+    """The bucket of each word, and that of its case."""
+    own, case = np.empty(len(words), np.int64), np.full(len(words), CASES["none"], np.int64)
     for i, word in enumerate(words):
-        before = len(buckets)
-        for run in RUNS.findall(word):
-            if run[0].isalpha():
-                buckets.append(_bucket("letters", run.lower()))
-                buckets.append(CASES[_case(run)])
-            elif run[0].isalnum():
-                buckets.append(_bucket("digits", str(len(run))))
-            else:
-                buckets.append(_bucket("symbols", run))
-        if len(buckets) == before:
-            buckets.append(_bucket("other", word))
-        lengths[i] = len(buckets) - before
-    return np.array(buckets, np.int64), lengths
+        if word[0].isalpha():
+            own[i] = _bucket("letters", word.lower())
+            case[i] = CASES[_case(word)]
+        else:
+            own[i] = _bucket("digits", str(len(word))) if word[0].isnumeric() else _bucket("symbols", word)
+    return own, case
+
+
+def runs(texts: pa.Array) -> Words:
+    """Words of texts: runs of letters, of digits and of symbols."""
+    return split_words(pc.replace_substring_regex(pc.fill_null(texts, ""), APART, r" \1 "))
 
 
 def pooled(words: Words, table: np.ndarray) -> np.ndarray:
-    """A row per text: the mean vector, its length, the logarithm of the number of words, and the shares of words
-    that are new to the text and that repeat the word before. ``table`` has a fixed-point vector per bucket."""
-    buckets, lengths = word_buckets(words.unique)
-    texts, sums = len(words.offsets) - 1, np.zeros((len(words.offsets) - 1, DIMENSIONS), np.int64)
-    if len(words.index):
-        per_word = np.add.reduceat(table[buckets], np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
-        owner = np.repeat(np.arange(texts), words.counts)
-        for a in range(0, len(words.index), CHUNK):
-            part = owner[a : a + CHUNK]
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            sums[part[starts]] += np.add.reduceat(per_word[words.index[a : a + CHUNK]], starts, axis=0, dtype=np.int64)
-    n = words.sums(lengths)
-    mean = sums / (np.maximum(n, 1) * float(SCALE))[:, None]
+    """A row per text: the mean vector, its length, the logarithm of the number of words, and the shares of
+    different words and of words that repeat the one before. ``table`` has an integer vector per bucket."""
+    own, case = word_buckets(words.unique)
+    count = words.counts
+    texts, sums, distinct = len(count), np.zeros((len(count), DIMENSIONS)), np.zeros(len(count))
+    owner = np.repeat(np.arange(texts), count)
+    place = np.arange(len(owner)) - np.repeat(words.offsets[:-1], count)
+    piece = np.cumsum((place % PIECE == 0)) - 1  # a text's words in pieces of PIECE
+    whose = owner[place % PIECE == 0]
+    vectors = table.astype(np.float32)
+    for a in range(0, len(whose), ROWS):
+        lo, hi = np.searchsorted(piece, [a, a + ROWS])
+        n = min(ROWS, len(whose) - a)
+        row, index = (piece[lo:hi] - a) * BUCKETS, words.index[lo:hi]
+        seen = np.bincount(row + own[index], minlength=n * BUCKETS).reshape(n, BUCKETS)
+        np.add.at(distinct, whose[a : a + n], (seen > 0).sum(axis=1))
+        seen += np.bincount(row + case[index], minlength=n * BUCKETS).reshape(n, BUCKETS)
+        np.add.at(sums, whose[a : a + n], (seen.astype(np.float32) @ vectors).astype(np.float64))
+    some = np.maximum(count, 1)
+    mean = sums / (2.0 * SCALE * some)[:, None]
     norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
-    count = np.maximum(words.counts, 1)
-    owner = np.repeat(np.arange(texts), words.counts)
-    new = np.bincount(np.unique(owner * max(1, len(words.unique)) + words.index) // max(1, len(words.unique)), minlength=texts)
     again = (np.diff(words.index) == 0) & (np.diff(owner) == 0)
     repeats = np.bincount(owner[1:][again], minlength=texts)
-    return np.concatenate([mean, norm, np.stack([np.log1p(n) / 8, new / count, repeats / count], axis=1)], axis=1)
+    return np.concatenate([mean, norm, np.stack([np.log1p(count) / 8, distinct / some, repeats / some], axis=1)], axis=1)
 
 
 def context_sums(words: Words, index: np.ndarray) -> np.ndarray:
     """For each bucket, the sum of the index vectors of what stands near it in the texts."""
-    buckets, lengths = word_buckets(words.unique)
-    starts = np.cumsum(lengths) - lengths
-    stream = buckets[gather_runs(starts[words.index], lengths[words.index])]
-    owner = np.repeat(np.repeat(np.arange(len(words.counts)), words.counts), lengths[words.index])
+    own, _ = word_buckets(words.unique)
+    stream = own[words.index]
+    owner = np.repeat(np.arange(len(words.counts)), words.counts)
     out = np.zeros((BUCKETS, DIMENSIONS), np.int64)
     for gap in range(1, NEAR + 1):
         same = owner[gap:] == owner[:-gap]
         pair = np.concatenate([stream[gap:][same] * BUCKETS + stream[:-gap][same], stream[:-gap][same] * BUCKETS + stream[gap:][same]])
         pair, times = np.unique(pair, return_counts=True)
-        if len(pair):
-            word = pair // BUCKETS
+        for a in range(0, len(pair), CHUNK):
+            word, near = np.divmod(pair[a : a + CHUNK], BUCKETS)
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            out[word[first]] += np.add.reduceat(index[pair % BUCKETS] * times[:, None], first, axis=0)
+            out[word[first]] += np.add.reduceat(index[near] * times[a : a + CHUNK, None], first, axis=0)
     return out
 
 
@@ -196,12 +198,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                sums += context_sums(split_words(part.column("text")), index)
+            for part in slices(batch, "text", 1 << 20):
+                sums += context_sums(runs(part.column("text")), index)
         yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.int32).tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
-    for row in sample.select("text").coalesce(8).mapInArrow(contexts, "sums binary").toLocalIterator():
+    for row in sample.select("text").coalesce(8).mapInArrow(contexts, "sums binary").collect():
         sums += np.frombuffer(row[0], np.int32).reshape(BUCKETS, DIMENSIONS)
     norms = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
     near = np.rint(sums * (SCALE * NONZERO**0.5) / np.maximum(norms, 1e-9))
@@ -211,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = pooled(split_words(part.column("text")), shared.value)
+                rows = pooled(runs(part.column("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("label"), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["pick", "label", "x"])
 
     rows = sorted(sample.select("pick", "label", "text").mapInArrow(features, "pick long, label double, x array<double>").collect())
@@ -229,7 +231,7 @@ def score_quality(
     folds: int = 4,
     held_out_fold: int = 2,
     threshold: float = 0.7,
-    sample_docs: int = 16_000,
+    sample_docs: int = 10_000,
     keep_columns: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with ``keep_columns``, the columns of ``docs``
@@ -256,7 +258,7 @@ def score_quality(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                score = shared.value.score(split_words(part.column("text")))
+                score = shared.value.score(runs(part.column("text")))
                 predicted = pa.array((score >= threshold).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column("held_out"), pa.array(score), predicted], schema=arrow)
 

@@ -58,9 +58,12 @@ def split_words(texts: pa.Array) -> Words:
     unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     offsets = offsets - offsets[0]
     if "" in unique:
-        real = index != unique.index("")
+        blank = unique.index("")
+        del unique[blank]
+        real = index != blank
         before = np.concatenate([[0], np.cumsum(real)])
         index, offsets = index[real], before[offsets]
+        index = index - (index > blank)
     return Words(unique, index, offsets)
 
 
