@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
 class Corpus:
     """``terms``: (term, df), df above 0. ``added`` and ``removed`` count documents over the corpus's life: their
-    difference is the number of documents, their sum a generation that changes with every change."""
+    difference is the number of documents, their sum a generation that changes with every change. The counters may
+    be given as functions, which are called when they are first needed."""
 
-    terms: DataFrame
-    added: int
-    removed: int = 0
+    def __init__(self, terms: DataFrame, added: int | Callable[[], int], removed: int | Callable[[], int] = 0) -> None:
+        self.terms, self._added, self._removed = terms, added, removed
 
     @staticmethod
     def empty(spark: SparkSession) -> Corpus:
@@ -25,7 +24,20 @@ class Corpus:
     def of(bags: DataFrame) -> Corpus:
         """Statistics of a table of bags; keys without a counted term are no documents of the corpus."""
         present = bags.where("tf > 0")
-        return Corpus(present.groupBy("term").agg(F.count(F.lit(1)).alias("df")), present.select("key").distinct().count())
+        terms = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return Corpus(terms, lambda: present.select("key").distinct().count())
+
+    @property
+    def added(self) -> int:
+        if callable(self._added):
+            self._added = self._added()
+        return self._added
+
+    @property
+    def removed(self) -> int:
+        if callable(self._removed):
+            self._removed = self._removed()
+        return self._removed
 
     @property
     def doc_num(self) -> int:
@@ -56,14 +68,14 @@ class Corpus:
         gone = Corpus.of(bags)
         both = self.terms.join(gone.terms.withColumnRenamed("df", "less"), "term", "left")
         left = both.select("term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df")).where("df > 0")
-        return Corpus(left, self.added, self.removed + gone.added)
+        return Corpus(left, lambda: self.added, lambda: self.removed + gone.added)
 
     def merge(self, other: Corpus) -> Corpus:
         both = self.terms.unionByName(other.terms).groupBy("term").agg(F.sum("df").alias("df"))
-        return Corpus(both, self.added + other.added, self.removed + other.removed)
+        return Corpus(both, lambda: self.added + other.added, lambda: self.removed + other.removed)
 
     def delta(self, other: Corpus) -> Corpus:
         """Terms more frequent here than in ``other``, by how much; the counters stay this corpus's."""
         both = self.terms.join(other.terms.withColumnRenamed("df", "less"), "term", "left")
         more = both.select("term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df")).where("df > 0")
-        return Corpus(more, self.added, self.removed)
+        return Corpus(more, lambda: self.added, lambda: self.removed)

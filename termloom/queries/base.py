@@ -26,7 +26,7 @@ def _stored(spark: SparkSession, application: str, sf_dir: str) -> Index:
 
 def build_index(spark: SparkSession, sf_dir: str) -> Index:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Index.build(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id", "text")
+    return Index.build(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id", "text", unique=True)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:

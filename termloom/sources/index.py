@@ -6,6 +6,7 @@ import json
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import tokens
 from termloom.functions.weights import EXACT, Engine
 from termloom.operators.corpus import Corpus
+from termloom.sources.workspace import remove
 
 
 KEPT_TERMS = 100_000
@@ -26,7 +28,8 @@ def bucket_of(term: str, buckets: int) -> int:
 class Index:
     """``postings``: (key, term, tf, doc_len), tf the true count; ``docs``: (key, doc_len, n_terms), one row per
     document, also empty ones; ``vocab``: (term), which keeps terms whose documents are gone. The number of
-    documents and their mean length belong to this index, df and N to the bound corpus, which may be shared.
+    documents and their mean length belong to this index, df and N to the bound corpus, which may be shared. An
+    index without a bound vocabulary or corpus has those of its own postings.
 
     ``buckets`` above 0 says that the postings are a stored table partitioned by ``term_bucket``, so that a query
     reads only the folders of its terms. ``normed`` says that they carry ``norm``, the length of the document's
@@ -35,34 +38,48 @@ class Index:
 
     postings: DataFrame
     docs: DataFrame
-    vocab: DataFrame
-    corpus: Corpus
+    bound_vocab: DataFrame | None = None
+    bound_corpus: Corpus | None = None
     engine: Engine = EXACT
     buckets: int = 0
     normed: bool = False
-    doc_num: int = 0
-    mean_len: float = 0.0
+    facts: tuple[int, float] | None = None
     frequencies: dict[str, int | None] = field(default_factory=dict, compare=False)
 
     @staticmethod
-    def build(rows: DataFrame, key: str, text: str | None = None, terms: str | None = None, corpus: Corpus | None = None, engine: Engine = EXACT) -> Index:
-        """Index rows of text, or of arrays of terms. Of rows that share a key, one is kept (the greatest)."""
+    def build(rows: DataFrame, key: str, text: str | None = None, terms: str | None = None, corpus: Corpus | None = None, engine: Engine = EXACT, unique: bool = False) -> Index:
+        """Index rows of text, or of arrays of terms. Of rows that share a key, one is kept (the greatest);
+        ``unique`` says that there are none, and saves the shuffle that would find them."""
         own = tokens(text) if text else F.col(terms)
         rows = rows.select(F.col(key).alias("key"), own.alias("terms"))
-        rows = rows.groupBy("key").agg(F.max("terms").alias("terms"))
-        return Index._of(rows.select("key", "terms", F.size("terms").cast("long").alias("doc_len")), corpus, engine)
-
-    @staticmethod
-    def _of(rows: DataFrame, corpus: Corpus | None, engine: Engine) -> Index:
-        each = rows.select("key", "doc_len", F.explode("terms").alias("term"))
+        if not unique:
+            rows = rows.groupBy("key").agg(F.max("terms").alias("terms"))
+        rows = rows.select("key", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+        length = F.size("terms").cast("long").alias("doc_len")
+        each = rows.select("key", length, F.explode("terms").alias("term"))
         postings = each.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-        docs = rows.select("key", "doc_len", F.size(F.array_distinct("terms")).cast("long").alias("n_terms"))
-        return Index._bound(postings, docs, postings.select("term").distinct(), corpus, engine)
+        docs = rows.select("key", length, F.size(F.array_distinct("terms")).cast("long").alias("n_terms"))
+        return Index(postings, docs, bound_corpus=corpus, engine=engine)
 
-    @staticmethod
-    def _bound(postings: DataFrame, docs: DataFrame, vocab: DataFrame, corpus: Corpus | None, engine: Engine, **more: object) -> Index:
-        n, mean = docs.agg(F.count(F.lit(1)), F.coalesce(F.avg("doc_len"), F.lit(0.0))).first()
-        return Index(postings, docs, vocab, corpus or Corpus.of(postings), engine, doc_num=n, mean_len=mean, **more)
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return self.postings.select("term").distinct() if self.bound_vocab is None else self.bound_vocab
+
+    @cached_property
+    def corpus(self) -> Corpus:
+        return Corpus.of(self.postings) if self.bound_corpus is None else self.bound_corpus
+
+    @cached_property
+    def _facts(self) -> tuple[int, float]:
+        return self.facts or tuple(self.docs.agg(F.count(F.lit(1)), F.coalesce(F.avg("doc_len"), F.lit(0.0))).first())
+
+    @property
+    def doc_num(self) -> int:
+        return self._facts[0]
+
+    @property
+    def mean_len(self) -> float:
+        return self._facts[1]
 
     @property
     def bags(self) -> DataFrame:
@@ -78,7 +95,7 @@ class Index:
 
     def with_corpus(self, corpus: Corpus) -> Index:
         """The same documents under other statistics."""
-        return replace(self, corpus=corpus, normed=False, frequencies={})
+        return replace(self, bound_vocab=self.vocab, bound_corpus=corpus, normed=False, frequencies={})
 
     def with_engine(self, engine: Engine) -> Index:
         return replace(self, engine=engine, normed=False)
@@ -137,7 +154,7 @@ class Index:
         gone = keys.select("key").distinct()
         removed = self.bags.join(gone, "key", "left_semi")
         kept = self.postings.select("key", "term", "tf", "doc_len").join(gone, "key", "left_anti")
-        return Index._bound(kept, self.docs.join(gone, "key", "left_anti"), self.vocab, self.corpus.remove(removed), self.engine)
+        return Index(kept, self.docs.join(gone, "key", "left_anti"), self.vocab, self.corpus.remove(removed), self.engine)
 
     def merge(self, other: Index) -> Index:
         """Documents of both; of a key in both, the other's. The corpus then describes the merged documents, and its
@@ -149,7 +166,7 @@ class Index:
         vocab = self.vocab.union(other.vocab).distinct()
         replaced = self.bags.join(keys, "key", "left_semi")
         corpus = self.corpus.remove(replaced).add(other.bags)
-        return Index._bound(postings, docs, vocab, corpus, self.engine)
+        return Index(postings, docs, vocab, corpus, self.engine)
 
     def upsert(self, rows: DataFrame, key: str, text: str | None = None, terms: str | None = None) -> Index:
         """With these documents added, or put in place of those of the same key."""
@@ -159,20 +176,30 @@ class Index:
         """Write a snapshot and return the index that reads it. Postings are partitioned by a hash of the term and
         sorted by term, so that a query reads only its terms' folders and row groups. With the corpus, they carry
         the documents' norms; without it, the snapshot can be bound to any corpus."""
-        postings = self.postings.select("key", "term", "tf", "doc_len")
+        spark = self.docs.sparkSession
+        plain = self.postings.select("key", "term", "tf", "doc_len")
+        if with_corpus:  # what is derived from the postings is read from this copy, not computed from the texts again
+            plain.write.parquet(f"{path}/staged")
+            plain = spark.read.parquet(f"{path}/staged")
+        self.docs.write.parquet(f"{path}/docs")
+        staged = replace(self, postings=plain, docs=spark.read.parquet(f"{path}/docs"), buckets=0, normed=False)
         if with_corpus:
-            postings = postings.join(self.norms(), "key")
-        parts = postings.withColumn("term_bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+            staged.corpus.terms.sortWithinPartitions("term").write.parquet(f"{path}/corpus")
+            stored = Corpus(spark.read.parquet(f"{path}/corpus"), staged.corpus.added, staged.corpus.removed)
+            own = stored.terms.select("term") if self.bound_vocab is None and self.bound_corpus is None else staged.vocab
+            staged = replace(staged, bound_vocab=own, bound_corpus=stored)
+            plain = plain.join(staged.norms(), "key")
+        staged.vocab.write.parquet(f"{path}/vocab")
+        parts = plain.withColumn("term_bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
         parts = parts.repartition(buckets, "term_bucket").sortWithinPartitions("term_bucket", "term", "key")
         parts.write.partitionBy("term_bucket").parquet(f"{path}/postings")
-        self.docs.write.parquet(f"{path}/docs")
-        self.vocab.write.parquet(f"{path}/vocab")
+        facts = {"buckets": buckets, "normed": with_corpus, "doc_num": staged.doc_num, "mean_len": staged.mean_len}
+        if with_corpus:
+            facts |= {"added": staged.corpus.added, "removed": staged.corpus.removed}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
         if with_corpus:
-            self.corpus.terms.sortWithinPartitions("term").write.parquet(f"{path}/corpus")
-        facts = {"buckets": buckets, "added": self.corpus.added, "removed": self.corpus.removed, "normed": with_corpus}
-        facts |= {"doc_num": self.doc_num, "mean_len": self.mean_len}
-        self.docs.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
-        return Index.load(self.docs.sparkSession, path, None if with_corpus else self.corpus, self.engine)
+            remove(spark, f"{path}/staged")
+        return Index.load(spark, path, None if with_corpus else self.corpus, self.engine)
 
     @staticmethod
     def load(spark: SparkSession, path: str, corpus: Corpus | None = None, engine: Engine = EXACT) -> Index:
@@ -182,5 +209,5 @@ class Index:
             raise ValueError("this snapshot has no corpus; give one")
         read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "vocab")}
         own = corpus or Corpus(spark.read.parquet(f"{path}/corpus"), facts["added"], facts["removed"])
-        more = {k: facts[k] for k in ("buckets", "doc_num", "mean_len")}
-        return Index(corpus=own, engine=engine, normed=corpus is None, **read, **more)
+        held = (facts["doc_num"], facts["mean_len"])
+        return Index(read["postings"], read["docs"], read["vocab"], own, engine, facts["buckets"], corpus is None, held)

@@ -81,7 +81,7 @@ def test_bm25_values(spark):
     docs = spark.createDataFrame([(k, n, 1) for k, _, n in rows], "key string, doc_len long, n_terms long")
     vocab = spark.createDataFrame([("llm",)], "term string")
     corpus = Corpus(spark.createDataFrame([("llm", 119)], "term string, df long"), 2339298)
-    index = Index(postings, docs, vocab, corpus, doc_num=2, mean_len=2961.292)
+    index = Index(postings, docs, vocab, corpus, facts=(2, 2961.292))
     assert found(search(index, BM25(), Term("llm"))) == {"a": pytest.approx(20.653216, abs=1e-5), "b": pytest.approx(19.520232, abs=1e-5)}
     assert found(search(index, Dot(), Term("llm")))["a"] == pytest.approx(20 * 380021899.452305)
 
@@ -119,7 +119,7 @@ def test_query_counts(small):
 def test_zero_divisor_is_nan(spark, small):
     zero = small.with_engine(F16)
     postings = zero.postings.withColumn("tf", F.lit(0).cast("long"))
-    got = search(Index(postings, zero.docs, zero.vocab, zero.corpus, doc_num=2, mean_len=4.0), BM25(k1=0.0), Term("rust"))
+    got = search(Index(postings, zero.docs, zero.vocab, zero.corpus, facts=(2, 4.0)), BM25(k1=0.0), Term("rust"))
     assert all(math.isnan(r.score) for r in got.collect())
     assert tuple(hits.counts(got).first()) == (0, 0, 2)
     assert hits.sort_by_score(got).collect() == [] and len(hits.sort_by(got, "key").collect()) == 2
