@@ -28,7 +28,7 @@ from termloom.llm.best_fit import best_fit_decreasing
 from termloom.llm.common import write_shared
 from termloom.llm.words import gather_runs, segment_sums, slices, split_words
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 
 #: Characters whose lower case, and place among letters, digits and others, are beyond doubt. The apostrophe is

@@ -27,7 +27,7 @@ from termloom.llm.words import segment_sums, slices
 SPACE = "▁"
 #: Fixed value of the unigram encoder: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 500_000
 CUT = "\x1f"
 
 
