@@ -189,7 +189,7 @@ def ngram_join(
     size: int = 5,
     threshold: float = 0.8,
     recall: float = 0.9995,
-    block_texts: int = 2048,
+    block_texts: int = 512,
     block_words: int = 1 << 21,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_docs, copies, links, keeps.
@@ -251,5 +251,7 @@ def ngram_join(
     classes = classed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_docs"))
     by_node = classed.join(classes, "root").join(counts, "node", "left")
     by_node = by_node.select("node", "class_id", "class_docs", (F.col("copies") - 1).alias("copies"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    # Written, so that the join shuffles both sides and Spark can split a text that very many documents have.
+    by_node = write_shared(by_node, "ngram-classes")
     out = signs.select("doc_id", "node").join(by_node, "node")
     return out.select("doc_id", "class_id", "class_docs", "copies", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keeps"))
