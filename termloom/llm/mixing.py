@@ -97,10 +97,11 @@ def draw_blocks(words: dict[int, int], blocks: int, target: float, seed: int) ->
 
 @dataclass
 class Mixer:
-    """A drawn mix. ``documents``: one row per document; ``copies``: the mix itself."""
+    """A drawn mix. ``documents``: one row per document; ``copies``: the mix itself, in ``shards`` output shards."""
 
     documents: DataFrame
     copies: DataFrame
+    shards: int
 
 
 def mix(
@@ -110,7 +111,7 @@ def mix(
     source_col: str = "source",
     weights: Iterable[float] = (1, 2, 3),
     most: float = 3.0,
-    words_per_shard: int = 1 << 22,
+    words_per_shard: int = 1 << 21,
     seed: int = 20,
     total_blocks: int = 1 << 17,
     block_docs: int = 32,
@@ -194,7 +195,7 @@ def mix(
     documents = drawn(sizes).select("doc_id", "size", "source_size", "target", (F.size("items") * F.col("size")).alias("taken"), F.col("items.shard").alias("shards"))
     copies = drawn(keyed).select("doc", "draw", F.explode("items").alias("item"))
     copies = copies.select("doc", F.col("item.shard").alias("shard"), F.xxhash64("draw", "item.pass", F.lit(2)).alias("place"))
-    return Mixer(documents, copies)
+    return Mixer(documents, copies, shards)
 
 
 #: Documents of a boundary block that may differ from those up to one place in the order.
@@ -236,8 +237,8 @@ def _fit(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed_documents(mixer: Mixer, columns: list[str], shuffle: bool = True) -> DataFrame:
-    """The mix as rows like those of the input: one per taken copy, each shard in its shuffled order."""
+    """The mix as rows like those of the input: one per taken copy, a partition per shard in its shuffled order."""
     copies = mixer.copies
     if shuffle:
-        copies = copies.repartition("shard").sortWithinPartitions("shard", "place")
+        copies = copies.repartitionById(mixer.shards, "shard").sortWithinPartitions("place")
     return copies.select(*[F.col("doc").getField(c).alias(c) for c in columns])
