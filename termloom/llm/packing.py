@@ -28,7 +28,9 @@ from termloom.llm.best_fit import best_fit_decreasing
 from termloom.llm.common import write_shared
 from termloom.llm.words import gather_runs, segment_sums, slices, split_words
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+#: Larger slices than elsewhere: a slice's different words are looked up once.
+SLICE_BYTES = 4 << 20
 
 
 #: Characters whose lower case, and place among letters, digits and others, are beyond doubt. The apostrophe is
@@ -113,7 +115,7 @@ def _pieces(path: str, window: int, end_id: int, batches: Iterator[pa.RecordBatc
     task, tokenizer = TaskContext.get().partitionId(), word_tokenizer(path)
     seen = np.zeros(window + 1, np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             ids, offsets = tokenizer.texts(part.column("text"), end_id)
             lengths = np.diff(offsets)
             cuts = -(-lengths // window)
@@ -163,7 +165,8 @@ def pack(
     placements, _ = best_fit_decreasing(counts, window)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "task"]).select(
+    # The counts grow with the number of tasks: they are not to be broadcast.
+    ranked = pieces.join(bases.hint("shuffle_hash"), ["length", "task"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("task_rank")).alias("rank")
     )
 
