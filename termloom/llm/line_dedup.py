@@ -8,11 +8,13 @@ template leaves one run variable. Lines that differ in one run only thus meet in
 A template that enough different documents have is recurring. Its first line (by document, then place) stays, all
 others are dropped. Long lines recur from ``min_docs_long`` documents on, shorter ones, which chance repeats, from
 ``min_docs``.
+
+With ``exact_tokens``, lines that two documents have token for token are looked at too, in ``passage_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import text_or_empty, write_shared
@@ -37,16 +39,25 @@ def template_keys(tokens: Column, n: Column, leading: int, min_tokens: int) -> C
     return F.when(n >= min_tokens, F.array(exact, *general)).otherwise(F.array(exact))
 
 
-def parse_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, min_tokens: int) -> DataFrame:
-    """One row per line that is not blank: doc_id, doc, place, n, keys."""
+def _tokens(line: Column) -> Column:
+    return F.array_remove(F.split(line, r"\s+"), "")
+
+
+def parse_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, min_tokens: int, exact: bool = False) -> DataFrame:
+    """One row per line that is not blank: doc_id, doc, place, n, keys; with ``exact`` also a hash of its own tokens."""
     text = text_or_empty(text_col)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"), _document(id_col, text_col).alias("doc"), F.posexplode(F.split(masked, "\n")).alias("place", "line")
-    )
-    tokens = lines.select("doc_id", "doc", "place", F.array_remove(F.split("line", r"\s+"), "").alias("tokens"))
-    tokens = tokens.withColumn("n", F.size("tokens")).where("n > 0")
-    return tokens.select("doc_id", "doc", "place", "n", template_keys(F.col("tokens"), F.col("n"), leading, min_tokens).alias("keys"))
+    split = F.split(masked, "\n")
+    if exact:  # masking changes no white space, so both have the same lines
+        split = F.arrays_zip(split.alias("line"), F.split(text, "\n").alias("own"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), _document(id_col, text_col).alias("doc"), F.posexplode(split).alias("place", "line"))
+    line = F.col("line.line") if exact else F.col("line")
+    lines = lines.withColumn("tokens", _tokens(line)).withColumn("n", F.size("tokens")).where("n > 0")
+    columns = ["doc_id", "doc", "place", "n", template_keys(F.col("tokens"), F.col("n"), leading, min_tokens).alias("keys")]
+    if exact:
+        own = F.when(F.col("line.own") == F.col("line.line"), F.col("tokens")).otherwise(_tokens(F.col("line.own")))
+        columns.append(F.xxhash64(own).alias("exact"))
+    return lines.select(*columns)
 
 
 def recurring_lines(lines: DataFrame, long_tokens: int, min_docs_long: int, min_docs: int) -> DataFrame:
@@ -66,6 +77,31 @@ def recurring_lines(lines: DataFrame, long_tokens: int, min_docs_long: int, min_
     return seen.join(recurring, ["n", "key"]).where(later).select("doc_id", "doc", "place").distinct()
 
 
+def passage_lines(lines: DataFrame, dropped: DataFrame, exact_tokens: int, passage_words: int) -> DataFrame:
+    """(doc_id, doc, place) of the lines to drop: those in ``dropped``, and copies of lines that two documents have
+    token for token. A copy of ``exact_tokens`` or more goes; a shorter one where it stands in a run of lines that are
+    all copies or in ``dropped``, and have more than ``passage_words`` tokens together. Blank lines end no run.
+    """
+    place = F.struct("doc_id", "doc", "place")
+    shared = lines.groupBy("n", "exact").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(place).alias("first"))
+    # Written for the same reason as the tables of templates.
+    shared = write_shared(shared.where("low != high").select("n", "exact", "first"), "line-copies")
+    copies = lines.join(shared, ["n", "exact"]).where(~place.eqNullSafe(F.col("first")))
+    marks = [
+        lines.select("doc", "doc_id", "place", "n", F.lit(0).alias("mark")),
+        copies.select("doc", "doc_id", "place", "n", F.lit(1).alias("mark")),
+        dropped.select("doc", "doc_id", "place", F.lit(0).alias("n"), F.lit(2).alias("mark")),
+    ]
+    marked = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("doc", "doc_id", "place")
+    marked = marked.agg(F.max("n").alias("n"), F.max("mark").alias("mark"))
+    # Lines of a run have as many lines that stay before them.
+    before = Window.partitionBy("doc", "doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("run", F.sum((F.col("mark") == 0).cast("int")).over(before)).where("mark > 0")
+    marked = marked.withColumn("words", F.sum("n").over(Window.partitionBy("doc", "doc_id", "run")))
+    goes = (F.col("mark") == 2) | (F.col("n") >= exact_tokens) | (F.col("words") > passage_words)
+    return marked.where(goes).select("doc_id", "doc", "place")
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -75,6 +111,8 @@ def line_dedup(
     long_tokens: int = 20,
     min_docs_long: int = 2,
     min_docs: int = 10,
+    exact_tokens: int | None = None,
+    passage_words: int = 50,
 ) -> DataFrame:
     """All rows and columns of ``docs`` in a struct ``doc``, with ``text`` (the lines that stay), ``lines`` and
     ``dropped`` (how many there were, and how many went).
@@ -83,9 +121,14 @@ def line_dedup(
     blank line. A line that recurs within one document only stays. Documents are told apart by id and text: rows
     that repeat both count as one and lose the same lines; null ids sort first. An empty table gives an empty
     result. Columns of any name pass through untouched.
+
+    With ``exact_tokens``, lines of as many tokens also go when an earlier line is the same token for token and two
+    documents have it, and shorter ones where they stand in a passage of such lines of over ``passage_words`` words.
     """
-    lines = write_shared(parse_lines(docs, id_col, text_col, leading, min_tokens), "lines")
+    lines = write_shared(parse_lines(docs, id_col, text_col, leading, min_tokens, exact_tokens is not None), "lines")
     dropped = recurring_lines(lines, long_tokens, min_docs_long, min_docs)
+    if exact_tokens is not None:
+        dropped = passage_lines(lines, dropped, exact_tokens, passage_words)
     pages = dropped.groupBy("doc", "doc_id", F.floor(F.col("place") / PAGE).cast("int").alias("page"))
     pages = pages.agg(F.collect_set((F.col("place") % PAGE).cast("int")).alias("gone"))  # PAGE places at most
     # A row per document, no larger than the document's own number of lines.

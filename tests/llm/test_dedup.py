@@ -116,6 +116,70 @@ def test_repeated_rows_and_long_tokens(spark):
     assert line_dedup(docs(spark, [])).collect() == []
 
 
+def brute_passages(rows, exact_tokens=9, passage_words=50):
+    """The text that stays of each document, by exact lines alone. Rows have different ids."""
+    lines = {d: [tuple(line.split()) for line in text.split("\n")] for d, text in sorted(rows)}
+    holders = defaultdict(set)
+    for d, own in lines.items():
+        for w in own:
+            holders[w].add(d)
+    seen, left = set(), {}
+    for d, own in lines.items():
+        copy = []
+        for w in own:
+            copy.append(bool(w) and w in seen and len(holders[w]) > 1)
+            seen.add(w)
+        gone = {i for i, w in enumerate(own) if copy[i] and len(w) >= exact_tokens}
+        run = []
+        for i, w in [*enumerate(own), (-1, ("end",))]:
+            if not w:
+                continue
+            if i >= 0 and copy[i]:
+                run.append(i)
+                continue
+            if sum(len(own[j]) for j in run) > passage_words:
+                gone.update(run)
+            run = []
+        left[d] = "\n".join(line for i, line in enumerate(dict(rows)[d].split("\n")) if i not in gone)
+    return left
+
+
+def test_shared_passages_go_like_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)] + ["7", "3.5"]
+
+    def broken(*lengths):
+        return [" ".join(rng.choices(vocabulary, k=k)) for k in lengths]
+
+    def own():
+        return broken(*rng.choices(range(1, 16), k=3))
+
+    passage, brief, menu = broken(8, 15, 8, 12, 8, 9), broken(*[6] * 9), broken(*[5] * 10)
+    texts = [own() + passage + own(), passage, own() + passage[:2] + ["", " "] + passage[2:] + own(), own() + brief, brief[:8] + own()]
+    texts += [own() + brief[:4] + ["", ""] + brief[4:], own() + menu, own() + menu[:5] + own() + menu[5:], menu + menu, [passage[0]] + own(), [""], own() * 3]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    want = brute_passages(rows)
+    found = cleaned(spark, rows, exact_tokens=9)
+    assert {d: r.text for d, r in found.items()} == want
+    assert want[1] == "" and found[1].dropped == 6  # all 60 words that document 0 has
+    assert found[2].dropped == 6 and found[4].dropped == 0 and found[5].dropped == 9  # 60, 48 and 54 words
+    assert found[7].dropped == 0 and found[9].dropped == 0
+    assert all(r.dropped == 0 for r in cleaned(spark, rows).values())
+
+
+def test_passages_with_templates_numbers_and_repeats(spark):
+    short = [f"short line {'abcdefghijkl'[i]}" for i in range(12)]
+    rows = [(1, "\n".join([*short, LONG, "tail"])), (2, "\n".join([*short[:9], LONG.replace("wd", "other"), "tail"])), (3, "tail")]
+    found = cleaned(spark, rows, exact_tokens=9)
+    assert (found[1].dropped, found[2].text, found[3].text) == (0, "", "tail")  # the template's line is of the run
+    figures = "a b c d e f g h {}"
+    found = cleaned(spark, [(1, figures.format(1)), (2, figures.format(2)), (3, figures.format(1))], exact_tokens=9)
+    assert [found[i].dropped for i in (1, 2, 3)] == [0, 0, 1]
+    rows = [(None, "\n".join(short[:3])), (1, figures), (1, figures), (2, None), (3, "")]
+    assert all(r.dropped == 0 for r in line_dedup(docs(spark, rows), exact_tokens=9).collect())
+    assert line_dedup(docs(spark, []), exact_tokens=9).collect() == []
+
+
 # N-gram join
 
 
