@@ -3,7 +3,8 @@
 A line is parsed by a tree of fixed depth. Its tokens with digits are variable fields and become ``<*>``. The first
 level is the number of tokens, the next are the leading tokens. Below them a leaf holds the line's exact template,
 and for lines of ``min_tokens`` or more also three general ones: the tokens fall into three runs, and each general
-template leaves one run variable. Lines that differ in one run only thus meet in a template.
+template leaves one run variable. Lines that differ in one run only thus meet in a template. Shorter lines have the
+exact one only, or, from ``short_tokens`` tokens on, also one for each token after the leading ones left variable.
 
 A template that enough different documents have is recurring. Its first line (by document, then place) stays, all
 others are dropped. Long lines recur from ``min_docs_long`` documents on, shorter ones, which chance repeats, from
@@ -28,22 +29,30 @@ def _document(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(id_col), F.col(id_col), F.col(text_col))
 
 
-def template_keys(tokens: Column, n: Column, leading: int, min_tokens: int) -> Column:
-    """Keys of a line's templates: the exact one, then one for each run of tokens left variable."""
+def template_keys(tokens: Column, n: Column, leading: int, min_tokens: int, short_tokens: int | None = None) -> Column:
+    """Keys of a line's templates: the exact one, then one for each run of tokens left variable, or, in a line of
+    ``short_tokens`` or more that is too short for runs, one for each token left variable."""
     third = F.floor(n / 3).cast("int")
     ends = [F.lit(0), third, 2 * third, n]
     runs = [F.xxhash64(F.slice(tokens, ends[i] + 1, ends[i + 1] - ends[i])) for i in range(3)]
     head = F.xxhash64(F.slice(tokens, 1, leading))
     general = [F.xxhash64(F.lit(i), head, *[runs[j] for j in range(3) if j != i]) for i in range(3)]
     exact = F.xxhash64(F.lit(3), *runs)
-    return F.when(n >= min_tokens, F.array(exact, *general)).otherwise(F.array(exact))
+    keys = F.when(n >= min_tokens, F.array(exact, *general))
+    if short_tokens is not None:
+        places = F.sequence(F.lit(leading), n - 1)  # fewer than min_tokens
+        one = F.transform(places, lambda i: F.xxhash64(F.lit(4), i, F.slice(tokens, F.lit(1), i), F.slice(tokens, i + 2, n)))
+        keys = keys.when(n >= max(short_tokens, leading + 1), F.concat(F.array(exact), one))
+    return keys.otherwise(F.array(exact))
 
 
 def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, r"\s+"), "")
 
 
-def parse_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, min_tokens: int, exact: bool = False) -> DataFrame:
+def parse_lines(
+    docs: DataFrame, id_col: str, text_col: str, leading: int, min_tokens: int, exact: bool = False, short_tokens: int | None = None
+) -> DataFrame:
     """One row per line that is not blank: doc_id, doc, place, n, keys; with ``exact`` also a hash of its own tokens."""
     text = text_or_empty(text_col)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
@@ -53,7 +62,7 @@ def parse_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, min_t
     lines = docs.select(F.col(id_col).alias("doc_id"), _document(id_col, text_col).alias("doc"), F.posexplode(split).alias("place", "line"))
     line = F.col("line.line") if exact else F.col("line")
     lines = lines.withColumn("tokens", _tokens(line)).withColumn("n", F.size("tokens")).where("n > 0")
-    columns = ["doc_id", "doc", "place", "n", template_keys(F.col("tokens"), F.col("n"), leading, min_tokens).alias("keys")]
+    columns = ["doc_id", "doc", "place", "n", template_keys(F.col("tokens"), F.col("n"), leading, min_tokens, short_tokens).alias("keys")]
     if exact:
         own = F.when(F.col("line.own") == F.col("line.line"), F.col("tokens")).otherwise(_tokens(F.col("line.own")))
         columns.append(F.xxhash64(own).alias("exact"))
@@ -113,6 +122,7 @@ def line_dedup(
     min_docs: int = 10,
     exact_tokens: int | None = None,
     passage_words: int = 50,
+    short_tokens: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` in a struct ``doc``, with ``text`` (the lines that stay), ``lines`` and
     ``dropped`` (how many there were, and how many went).
@@ -124,8 +134,9 @@ def line_dedup(
 
     With ``exact_tokens``, lines of as many tokens also go when an earlier line is the same token for token and two
     documents have it, and shorter ones where they stand in a passage of such lines of over ``passage_words`` words.
+    With ``short_tokens``, lines of as many tokens that are too short for runs have templates with one token variable.
     """
-    lines = write_shared(parse_lines(docs, id_col, text_col, leading, min_tokens, exact_tokens is not None), "lines")
+    lines = write_shared(parse_lines(docs, id_col, text_col, leading, min_tokens, exact_tokens is not None, short_tokens), "lines")
     dropped = recurring_lines(lines, long_tokens, min_docs_long, min_docs)
     if exact_tokens is not None:
         dropped = passage_lines(lines, dropped, exact_tokens, passage_words)

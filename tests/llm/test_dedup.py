@@ -180,6 +180,20 @@ def test_passages_with_templates_numbers_and_repeats(spark):
     assert line_dedup(docs(spark, []), exact_tokens=9).collect() == []
 
 
+def test_short_lines_with_one_variable_token(spark):
+    hosts = ["alpha", "beta", "gamma", "delta", "eta", "iota", "kappa", "mu", "nu", "xi", "pi", "rho"]
+    log = "Connection from host {} closed by peer"
+    rows = [(i, log.format(h)) for i, h in enumerate(hosts)]
+    rows += [(20 + i, f"Connection {h} host alpha closed by peer") for i, h in enumerate(hosts[:11])]  # a leading token varies
+    rows += [(40 + i, f"one word {h}") for i, h in enumerate(hosts)]  # too short
+    rows += [(60 + i, f"two words {h} and {hosts[-i]}") for i, h in enumerate(hosts)]  # two vary
+    found = cleaned(spark, rows, short_tokens=4)
+    assert [d for d, r in sorted(found.items()) if r.dropped] == list(range(1, 12))
+    assert all(found[i].text == "" for i in range(1, 12)) and found[0].text == log.format("alpha")
+    assert all(r.dropped == 0 for r in cleaned(spark, rows[:9], short_tokens=4).values())
+    assert all(r.dropped == 0 for r in cleaned(spark, rows).values())
+
+
 # N-gram join
 
 
