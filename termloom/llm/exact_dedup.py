@@ -1,23 +1,26 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
-1. Every text is normalised and hashed; rows are grouped by hash *and bytes*. Spark pre-aggregates before the
-   shuffle, so a text that holds a third of all rows leaves each task as one row.
-2. A directory over the leading hash bits is doubled until no bucket holds more than ``bucket_capacity`` keys
-   (or the directory has its largest size). It is built from a histogram of at most ``2 ** max_depth`` counts.
-3. Owner tasks get ranges of buckets; keys with the same hash form a chain in their bucket. The index is
+1. Every text is normalised and hashed. A directory over the leading hash bits is doubled until no bucket holds more
+   than ``bucket_capacity`` hashes (or the directory has its largest size). It is built from a histogram of at most
+   ``2 ** max_depth`` counts.
+2. Rows are pre-aggregated where they are read and again in ``PARTS`` parts, so that a text that holds a third of all
+   rows reaches its bucket as ``PARTS`` rows at most. What is left goes to the owner of its bucket.
+3. The owner compares bytes among the texts of a bucket that have one hash; different ones form a chain. The index is
    written to shared files.
-4. Each document looks its key up in the index by hash and SHA-256.
+4. Each document looks itself up by bucket, hash and, along the chain, SHA-256.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import ascii_lower, literal_rows, text_or_empty, write_shared
 
+PARTS = 16
+
 
 def build_directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int], list[int]]:
     """Double the directory and split overfull buckets.
@@ -52,6 +55,35 @@ def build_directory(counts: dict[int, int], capacity: int, max_depth: int) -> tu
     return depth, [number[bucket] for bucket in slots], [local for local, _ in number]
 
 
+def _sha() -> Column:
+    return F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
+
+
+def route(keyed: DataFrame, depth: int, slots: list[int]) -> DataFrame:
+    """``keyed`` with the bucket of each key."""
+    # At most 2 ** max_depth rows of two numbers, whatever the input: it may be broadcast.
+    directory = literal_rows(keyed.sparkSession, [{"slot": i, "bucket": b} for i, b in enumerate(slots)], "slot long, bucket int")
+    slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    return keyed.withColumn("slot", slot).join(F.broadcast(directory), "slot").drop("slot")
+
+
+def fill_buckets(routed: DataFrame) -> DataFrame:
+    """The index: bucket, key, chain, sha, keep_id, group_size of each different text of a bucket."""
+    parts = routed.withColumn("part", F.spark_partition_id() % PARTS).groupBy("bucket", "key", "norm", "part")
+    parts = parts.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Dealt by bucket alone: the two steps below need no other shuffle, and see whole buckets.
+    owned = parts.drop("part").repartition("bucket").groupBy("bucket", "key", "norm")
+    owned = owned.agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chained = Window.partitionBy("bucket", "key").orderBy("sha")
+    owned = owned.select("bucket", "key", _sha().alias("sha"), "keep_id", "group_size")
+    return owned.select("bucket", "key", (F.row_number().over(chained) - 1).alias("chain"), "sha", "keep_id", "group_size")
+
+
+def look_up(routed: DataFrame, index: DataFrame) -> DataFrame:
+    """Each document with its entry, looked for in its own bucket only."""
+    return routed.select("doc_id", "bucket", "key", _sha().alias("sha")).join(index, ["bucket", "key", "sha"], "left")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,32 +101,16 @@ def exact_dedup(
     ``chain`` is the key's place among those with the same hash (0 unless hashes collide); ``key_bits`` below 64
     shortens the hash, for tests of collisions.
     """
-    spark = docs.sparkSession
     norm = ascii_lower(text_or_empty(text_col))
     unused = 64 - key_bits
     key = F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), unused), unused)
     keyed = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", key)
-    sha = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
 
-    entries = write_shared(
-        keyed.groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", sha.alias("sha"), "keep_id", "group_size"),
-        "dedup-entries",
-    )
     leading = F.shiftrightunsigned("key", 64 - max_depth) if max_depth else F.lit(0).cast("long")
-    counts = {row[0]: row[1] for row in entries.groupBy(leading.alias("slot")).count().collect()}
+    counts = {row[0]: row[1] for row in keyed.select("key").distinct().groupBy(leading.alias("slot")).count().collect()}
     depth, slots, _ = build_directory(counts, bucket_capacity, max_depth)
-    # At most 2 ** max_depth rows of two numbers, whatever the input: it may be broadcast.
-    directory = literal_rows(spark, [{"slot": i, "bucket": b} for i, b in enumerate(slots)], "slot long, bucket int")
-    slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = entries.withColumn("slot", slot).join(F.broadcast(directory), "slot").repartitionByRange("bucket")
-    chained = Window.partitionBy("bucket", "key").orderBy("sha")
-    index = write_shared(
-        owned.select("bucket", "key", (F.row_number().over(chained) - 1).alias("chain"), "sha", "keep_id", "group_size"),
-        "dedup-index",
-    )
-    looked_up = keyed.select("doc_id", "key", sha.alias("sha")).join(index, ["key", "sha"], "left")
+    routed = route(keyed, depth, slots)
+    looked_up = look_up(routed, write_shared(fill_buckets(routed), "dedup-index"))
     return looked_up.select(
         "doc_id",
         "keep_id",

@@ -11,7 +11,7 @@ from oracle import assert_same, duck
 
 from termloom.llm import queries
 from termloom.llm.components import components
-from termloom.llm.exact_dedup import build_directory, exact_dedup
+from termloom.llm.exact_dedup import build_directory, exact_dedup, fill_buckets, look_up, route
 from termloom.llm.line_dedup import line_dedup
 from termloom.llm.ngram_join import choose_bands, ngram_join, verify
 
@@ -58,6 +58,25 @@ def test_exact_dedup(spark, key_bits):
         assert max(r.chain for r in found) > 0
 
 
+def test_buckets_decide_which_texts_are_equal(spark):
+    """Copies meet in a bucket's chain and nowhere else, and a document reads its own bucket only."""
+    rows = [(1, 0, 5, "a"), (2, 0, 5, "a"), (3, 0, 5, "b"), (4, 1, 5, "a"), (5, 1, 6, "c")]
+    routed = spark.createDataFrame(rows, "doc_id long, bucket int, key long, norm string").repartition(3)
+    index = fill_buckets(routed)
+    entries = {(r.bucket, r.key, bytes(r.sha)): r for r in index.collect()}
+
+    def at(bucket, key, text):
+        return entries[bucket, key, hashlib.sha256(text.encode()).digest()]
+
+    assert len(entries) == 4 and {at(0, 5, "a").chain, at(0, 5, "b").chain} == {0, 1} and at(1, 5, "a").chain == 0
+    assert [(at(0, 5, "a").keep_id, at(0, 5, "a").group_size), (at(1, 5, "a").keep_id, at(1, 5, "a").group_size)] == [(2, 2), (4, 1)]
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in look_up(routed, index).collect()} == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+    found = {r.doc_id: r.keep_id for r in look_up(routed, index.where("bucket = 0")).collect()}
+    assert found == {1: 2, 2: 2, 3: 3, 4: None, 5: None}
+    keyed = spark.createDataFrame([(0,), (1 << 62,), (-1,), (-(1 << 62),)], "key long")
+    assert {r.key: r.bucket for r in route(keyed, 2, [0, 1, 2, 2]).collect()} == {0: 0, 1 << 62: 1, -1: 2, -(1 << 62): 2}
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).collect() == []
 
