@@ -1,19 +1,32 @@
 """Hierarchical navigable small-world graph over one shard of vectors, as flat arrays.
 
 Nodes are numbered by descending level, so layer l is a prefix of the nodes and its links are one array of shape
-(nodes of the layer, links). Nodes are linked in that order: a node's candidates are its nearest predecessors in
-the layer, found exactly by blocked matrix products; the usual heuristic keeps those that are nearer to the node
-than to any kept one. Links back are pruned by the same heuristic.
+(nodes of the layer, links). Nodes are inserted in that order, a batch at a time: each node of the batch searches
+the graph of all earlier batches, and is also compared with the nodes before it in its own batch. Of what it finds,
+the usual heuristic keeps those that are nearer to the node than to any kept one. A node that has been given more
+links back than it has room for is pruned by the same heuristic.
+
+Many searches go through the graph in step, as rows of arrays: each step opens the nearest unopened nodes of every
+row's beam. Distances are sums of squared differences, not products of whole vectors, so that those within a dense
+cluster keep their digits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from heapq import heappop, heappush, heappushpop
 
 import numpy as np
 
+#: Rows that are handled at a time.
 BLOCK = 256
+#: Nodes of each row's beam that a step opens.
+OPENED = 4
+#: A row's memory of nodes that it has met, as a power of two. What is forgotten is only met again.
+MET = 1 << 11
+#: Beam on the way down through the layers above.
+DESCENT = 4
+#: Nearest nodes of a batch that a node of the same batch is offered.
+PEERS = 16
 
 
 def levels(hashes: np.ndarray, links: int) -> np.ndarray:
@@ -22,70 +35,176 @@ def levels(hashes: np.ndarray, links: int) -> np.ndarray:
     return np.floor(-np.log(np.maximum(uniform, 2.0**-54)) / np.log(links)).astype(np.int64)
 
 
-def select(vectors: np.ndarray, near: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
-    """Of each row's candidates (nearest first, -1 for none), at most ``most`` spread ones, then nearest others."""
-    known = vectors[np.maximum(near, 0)]
-    square = np.einsum("bcd,bcd->bc", known, known)
-    apart = square[:, :, None] + square[:, None, :] - 2 * np.matmul(known, known.transpose(0, 2, 1))
-    kept, number, valid = np.zeros(near.shape, bool), np.zeros(len(near), np.int64), near >= 0
-    for c in range(near.shape[1]):
-        crowded = ((apart[:, c, :] < distance[:, c, None]) & kept).any(axis=1)
-        kept[:, c] = valid[:, c] & ~crowded & (number < most)
-        number += kept[:, c]
-    order = np.argsort(np.where(kept, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :most]
-    chosen = np.take_along_axis(near, order, axis=1)
-    if chosen.shape[1] < most:
-        chosen = np.pad(chosen, ((0, 0), (0, most - chosen.shape[1])), constant_values=-1)
-    return chosen
-
-
-def nearest_before(vectors: np.ndarray, n: int, width: int):
-    """For blocks of the first ``n`` nodes: their numbers, nearest predecessors and squared distances."""
-    square = np.einsum("nd,nd->n", vectors[:n], vectors[:n])
-    for a in range(0, n, BLOCK):
-        b = min(n, a + BLOCK)
-        own = np.arange(a, b)
-        gap = square[a:b, None] + square[None, :b] - 2 * (vectors[a:b] @ vectors[:b].T)
-        gap[np.arange(b)[None, :] >= own[:, None]] = np.inf
-        k = min(width, b)
-        near = np.argpartition(gap, k - 1, axis=1)[:, :k] if k < b else np.tile(np.arange(b), (b - a, 1))
-        distance = np.take_along_axis(gap, near, axis=1)
-        order = np.argsort(distance, axis=1, kind="stable")
-        distance = np.take_along_axis(distance, order, axis=1)
-        near = np.where(np.isfinite(distance), np.take_along_axis(near, order, axis=1), -1)
-        yield own, near, distance
-
-
-def link_layer(vectors: np.ndarray, n: int, forward: int, most: int, width: int) -> np.ndarray:
-    """Links of one layer: array (n, most), -1 for none."""
-    ahead = np.full((n, forward), -1, np.int64)
-    for own, near, distance in nearest_before(vectors, n, width):
-        ahead[own] = select(vectors, near, distance, forward)
-    node, place = np.nonzero(ahead >= 0)
-    other = ahead[node, place]
-    gap = vectors[node] - vectors[other]
-    gap = np.einsum("nd,nd->n", gap, gap)
-    start, end, gap = np.concatenate([node, other]), np.concatenate([other, node]), np.concatenate([gap, gap])
-    order = np.lexsort((end, gap, start))
-    start, end, gap = start[order], end[order], gap[order]
-    rank = np.arange(len(start)) - np.searchsorted(start, start)
-    wide = 3 * most
-    near, distance = np.full((n, wide), -1, np.int64), np.full((n, wide), np.inf, vectors.dtype)
-    few = rank < wide
-    near[start[few], rank[few]], distance[start[few], rank[few]] = end[few], gap[few]
-    out = np.empty((n, most), np.int32)
-    for a in range(0, n, BLOCK):
-        out[a : a + BLOCK] = select(vectors, near[a : a + BLOCK], distance[a : a + BLOCK], most)
-    for _ in range(3):  # a node that none links to gets a link from its nearest predecessor
-        reached = np.zeros(n, bool)
-        reached[out[out >= 0]] = True
-        lost = np.flatnonzero(~reached & (ahead[:, 0] >= 0))
-        if not len(lost):
-            break
-        out[ahead[lost, 0], most - 1] = lost
+def select(vectors: np.ndarray, base: np.ndarray, near: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Of the candidates of each row (nearest first, -1 for none) of nodes ``base``, at most ``most`` spread ones,
+    then nearest others."""
+    out = np.full((len(near), most), -1, np.int32)
+    for a in range(0, len(near), BLOCK):
+        own, gap = near[a : a + BLOCK], distance[a : a + BLOCK]
+        known = vectors[np.maximum(own, 0)] - vectors[base[a : a + BLOCK], None, :]
+        square = np.einsum("bcd,bcd->bc", known, known)
+        apart = square[:, :, None] + square[:, None, :] - 2 * np.matmul(known, known.transpose(0, 2, 1))
+        kept, number, valid = np.zeros(own.shape, bool), np.zeros(len(own), np.int64), own >= 0
+        for c in range(own.shape[1]):
+            crowded = ((apart[:, c, :] < gap[:, c, None]) & kept).any(axis=1)
+            kept[:, c] = valid[:, c] & ~crowded & (number < most)
+            number += kept[:, c]
+        order = np.argsort(np.where(kept, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :most]
+        chosen = np.take_along_axis(own, order, axis=1)
+        out[a : a + len(own), : chosen.shape[1]] = chosen
     return out
 
 
+def _gaps(vectors: np.ndarray, nodes: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    difference = vectors[nodes] - queries[rows]
+    return np.einsum("nd,nd->n", difference, difference)
+
+
+def _ragged(rows: np.ndarray, height: int) -> tuple[np.ndarray, int]:
+    """Place of each entry in its row, and the most entries of a row; ``rows`` is sorted."""
+    counts = np.bincount(rows, minlength=height)
+    return np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts), int(counts.max(initial=0))
+
+
+def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near nodes of each query in one layer, and their squared distances: arrays (queries, beam), nearest first,
+    -1 and infinity where there are fewer. ``entry`` has the nodes where each query starts, -1 for none."""
+    height, width = len(queries), max(beam, entry.shape[1])
+    nodes = np.full((height, width), -1, np.int32)
+    gaps = np.full((height, width), np.inf, vectors.dtype)
+    nodes[:, : entry.shape[1]] = entry
+    row, place = np.nonzero(nodes >= 0)
+    gaps[row, place] = _gaps(vectors, nodes[row, place], queries, row)
+    if width > beam:
+        order = np.argsort(gaps, axis=1, kind="stable")[:, :beam]
+        nodes, gaps = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(gaps, order, axis=1)
+    opened = nodes < 0
+    met = np.full((height, MET), -1, np.int32)
+    row, place = np.nonzero(nodes >= 0)
+    met[row, nodes[row, place] & (MET - 1)] = nodes[row, place]
+    live, step = np.arange(height), min(OPENED, beam)
+    out_nodes, out_gaps = nodes.copy(), gaps.copy()
+    while len(live):
+        open_gaps = np.where(opened, np.inf, gaps)
+        pick = np.argpartition(open_gaps, step - 1, axis=1)[:, :step] if step < beam else np.tile(np.arange(beam), (len(live), 1))
+        active = np.isfinite(np.take_along_axis(open_gaps, pick, axis=1))
+        going = active.any(axis=1)
+        if not going.all():
+            ended = live[~going]
+            out_nodes[ended], out_gaps[ended] = nodes[~going], gaps[~going]
+            live, nodes, gaps, opened, pick, active = (x[going] for x in (live, nodes, gaps, opened, pick, active))
+            if not len(live):
+                break
+        np.put_along_axis(opened, pick, True, axis=1)
+        at = np.where(active, np.take_along_axis(nodes, pick, axis=1), -1)
+        offered = np.where(at[:, :, None] >= 0, links[at], -1).reshape(len(live), -1)
+        offered.sort(axis=1)
+        fresh = offered >= 0
+        fresh[:, 1:] &= offered[:, 1:] != offered[:, :-1]
+        row, place = np.nonzero(fresh)
+        node = offered[row, place]
+        slot = node & (MET - 1)
+        new = met[live[row], slot] != node
+        row, node, slot = row[new], node[new], slot[new]
+        met[live[row], slot] = node
+        gap = _gaps(vectors, node, queries, live[row])
+        better = gap < gaps.max(axis=1)[row]
+        row, node, gap = row[better], node[better], gap[better]
+        if not len(row):
+            continue
+        new = ~(nodes[row] == node[:, None]).any(axis=1)  # a node that was forgotten may still be in the beam
+        row, node, gap = row[new], node[new], gap[new]
+        place, most = _ragged(row, len(live))
+        more_nodes, more_gaps = np.full((len(live), most), -1, np.int32), np.full((len(live), most), np.inf, gaps.dtype)
+        more_nodes[row, place], more_gaps[row, place] = node, gap
+        all_gaps = np.concatenate([gaps, more_gaps], axis=1)
+        part = np.argpartition(all_gaps, beam - 1, axis=1)[:, :beam]
+        gaps = np.take_along_axis(all_gaps, part, axis=1)
+        nodes = np.take_along_axis(np.concatenate([nodes, more_nodes], axis=1), part, axis=1)
+        opened = np.take_along_axis(np.concatenate([opened, more_nodes < 0], axis=1), part, axis=1)
+    order = np.argsort(out_gaps, axis=1, kind="stable")
+    return np.take_along_axis(out_nodes, order, axis=1), np.take_along_axis(out_gaps, order, axis=1)
+
+
+class Layer:
+    """Links of one layer while it grows: room for ``slack`` more than ``most`` before a node is pruned."""
+
+    def __init__(self, vectors: np.ndarray, size: int, most: int, slack: int) -> None:
+        self.vectors, self.most, self.slack = vectors, most, slack
+        self.links = np.full((size, most + slack), -1, np.int32)
+        self.number = np.zeros(size, np.int64)
+
+    def nearest_of(self, rows: np.ndarray, node: np.ndarray, base: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates (row, node) as arrays (rows, ``wide``), nearest first."""
+        gap = _gaps(self.vectors, node, self.vectors, base[rows])
+        order = np.lexsort((node, gap, rows))
+        rows, node, gap = rows[order], node[order], gap[order]
+        place, _ = _ragged(rows, len(base))
+        few = place < wide
+        near, distance = np.full((len(base), wide), -1, np.int32), np.full((len(base), wide), np.inf, self.vectors.dtype)
+        near[rows[few], place[few]], distance[rows[few], place[few]] = node[few], gap[few]
+        return near, distance
+
+    def connect(self, nodes: np.ndarray, chosen: np.ndarray) -> None:
+        """Link new ``nodes`` to those in their rows of ``chosen``, and back."""
+        self.links[nodes, : chosen.shape[1]] = chosen
+        self.number[nodes] = (chosen >= 0).sum(axis=1)
+        row, place = np.nonzero(chosen >= 0)
+        target, source = chosen[row, place].astype(np.int64), nodes[row]
+        order = np.argsort(target, kind="stable")
+        target, source = target[order], source[order]
+        told, back = np.unique(target, return_inverse=True)
+        place, _ = _ragged(back, len(told))
+        room = (self.number[told] + np.bincount(back, minlength=len(told))) <= self.links.shape[1]
+        fits = room[back]
+        self.links[target[fits], self.number[target[fits]] + place[fits]] = source[fits]
+        self.number[told[room]] += np.bincount(back, minlength=len(told))[room]
+        full = np.flatnonzero(~room)
+        if len(full):
+            held_row, held_place = np.nonzero(self.links[told[full]] >= 0)
+            held = self.links[told[full]][held_row, held_place]
+            renumbered = np.full(len(told), -1)
+            renumbered[full] = np.arange(len(full))
+            rows = np.concatenate([held_row, renumbered[back[~fits]]])
+            self.prune(told[full], rows, np.concatenate([held, source[~fits].astype(np.int32)]))
+
+    def prune(self, base: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
+        near, distance = self.nearest_of(rows, node, base, self.most + 2 * self.slack)
+        kept = select(self.vectors, base, near, distance, self.most)
+        self.links[base] = -1
+        self.links[base, : self.most] = kept
+        self.number[base] = (kept >= 0).sum(axis=1)
+
+    def finish(self, before: np.ndarray) -> np.ndarray:
+        """The links, ``most`` of a node. ``before`` has a near earlier node of each."""
+        over = np.flatnonzero(self.number > self.most)
+        for a in range(0, len(over), 1 << 14):
+            base = over[a : a + (1 << 14)]
+            row, place = np.nonzero(self.links[base] >= 0)
+            self.prune(base, row, self.links[base][row, place])
+        out = np.ascontiguousarray(self.links[:, : self.most])
+        for _ in range(3):  # a node that none links to gets a link from its nearest earlier one
+            reached = np.zeros(len(out), bool)
+            reached[out[out >= 0]] = True
+            lost = np.flatnonzero(~reached & (before >= 0))
+            if not len(lost):
+                break
+            out[before[lost], self.most - 1] = lost
+        return out
+
+
+def _peers(vectors: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest earlier nodes within a batch, and their squared distances."""
+    own = vectors[a:b].astype(np.float64) - vectors[a]
+    square = np.einsum("nd,nd->n", own, own)
+    gap = square[:, None] + square[None, :] - 2 * (own @ own.T)
+    gap[np.triu_indices(b - a)] = np.inf
+    k = min(PEERS, b - a)
+    near = np.argpartition(gap, k - 1, axis=1)[:, :k]
+    distance = np.take_along_axis(gap, near, axis=1)
+    return np.where(np.isfinite(distance), near + a, -1).astype(np.int32), np.maximum(distance, 0).astype(vectors.dtype)
+
+
 @dataclass
 class Graph:
     """``links[l]``: flat neighbour array of layer l, -1 for none."""
@@ -93,55 +212,41 @@ class Graph:
     vectors: np.ndarray
     links: list[np.ndarray]
 
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        self.padded = [np.where(layer < 0, n, layer) for layer in self.links]
-
-    def search(self, query: np.ndarray, beam: int) -> list[int]:
-        """Up to ``beam`` near nodes, nearest first."""
-        at = [(float(((self.vectors[0] - query) ** 2).sum()), 0)]
-        for layer in reversed(self.padded[1:]):
-            at = self._beam(query, at, layer, 1)
-        return [node for _, node in sorted(self._beam(query, at, self.padded[0], beam))]
-
-    def _beam(self, query: np.ndarray, entry: list[tuple[float, int]], layer: np.ndarray, beam: int) -> list[tuple[float, int]]:
-        seen = np.zeros(len(self.vectors) + 1, bool)
-        seen[-1] = True
-        seen[[node for _, node in entry]] = True
-        todo, found = sorted(entry), [(-d, node) for d, node in sorted(entry, reverse=True)]
-        worst = -found[0][0] if len(found) >= beam else np.inf
-        while todo:
-            distance, node = heappop(todo)
-            if distance > worst:
-                break
-            near = layer[node]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            gaps = self.vectors[near] - query
-            gaps = np.einsum("nd,nd->n", gaps, gaps)
-            if len(found) >= beam:
-                closer = gaps < worst
-                near, gaps = near[closer], gaps[closer]
-            for gap, other in zip(gaps.tolist(), near.tolist(), strict=True):
-                if len(found) < beam:
-                    heappush(found, (-gap, other))
-                elif gap < worst:
-                    heappushpop(found, (-gap, other))
-                else:
-                    continue
-                heappush(todo, (gap, other))
-                if len(found) >= beam:
-                    worst = -found[0][0]
-        return [(-d, node) for d, node in found]
-
-
-def build(vectors: np.ndarray, level: np.ndarray, links: int = 16, width: int = 64) -> Graph:
+    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Up to ``beam`` near nodes of each query, nearest first, -1 for none: array (queries, beam)."""
+        out = np.full((len(queries), beam), -1, np.int32)
+        for a in range(0, len(queries), BLOCK):
+            part = queries[a : a + BLOCK].astype(self.vectors.dtype)
+            at = np.zeros((len(part), 1), np.int32)
+            for layer in reversed(self.links[1:]):
+                at, _ = beam_search(self.vectors, layer, part, at, DESCENT)
+            out[a : a + len(part)], _ = beam_search(self.vectors, self.links[0], part, at, beam)
+        return out
+
+
+def build(vectors: np.ndarray, level: np.ndarray, links: int = 16, width: int = 48, batch: int = 512) -> Graph:
     """Graph of ``vectors``, which must be sorted by descending ``level``."""
-    vectors = vectors.astype(np.float64)  # 32-bit products lose the distances within a dense cluster
-    layers = []
-    for layer in range(int(level[0]) + 1 if len(level) else 1):
-        n = int((level >= layer).sum())
-        layers.append(link_layer(vectors, n, links, 2 * links if layer == 0 else links, width))
-    return Graph(vectors, layers)
+    n, top = len(vectors), int(level[0]) if len(level) else 0
+    sizes = [int((level >= layer).sum()) for layer in range(top + 1)]
+    layers = [Layer(vectors, size, 2 * links if i == 0 else links, links) for i, size in enumerate(sizes)]
+    before = [np.full(size, -1, np.int64) for size in sizes]
+    a = min(1, n)  # the first node has nothing to be linked to
+    while a < n:
+        b = min(n, a + min(batch, a))
+        queries, at = vectors[a:b], np.zeros((b - a, 1), np.int32)
+        near, distance = _peers(vectors, a, b)
+        for number in range(top, -1, -1):
+            layer, m = layers[number], min(b, sizes[number]) - a
+            beam = width if m > 0 else DESCENT
+            found, gaps = beam_search(vectors, layer.links, queries, at, beam)
+            at = found[:, :DESCENT]
+            if m > 0:
+                both = np.concatenate([found[:m], near[:m]], axis=1)
+                apart = np.concatenate([gaps[:m], np.where(near[:m] >= 0, distance[:m], np.inf)], axis=1)
+                order = np.argsort(apart, axis=1, kind="stable")[:, :width]
+                both, apart = np.take_along_axis(both, order, axis=1), np.take_along_axis(apart, order, axis=1)
+                nodes = np.arange(a, a + m)
+                before[number][nodes] = both[:, 0]
+                layer.connect(nodes, select(vectors, nodes, both, apart, links))
+        a = b
+    return Graph(vectors, [layer.finish(own) for layer, own in zip(layers, before, strict=True)])

@@ -116,7 +116,7 @@ def test_recall_on_the_test_table(spark, sf):
 def test_shards_are_merged(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(3000)]
-    want, found = brute(rows, 100), hits(nearest(frame(spark, rows), shard_nodes=500, query_block=7))
+    want, found = brute(rows, 100), hits(nearest(frame(spark, rows), shard_bytes=150_000, query_block=7))
     both = sum(len({i for _, i in want[q]} & {i for _, i in found[q]}) for q in want)
     assert both >= 0.97 * 10 * len(want)
 
@@ -146,5 +146,40 @@ def test_every_node_can_be_reached():
     vectors = np.concatenate([rng.normal(size=(500, 8)), rng.normal(size=(500, 8)) * 1e-3 + 5]).astype(np.float32)
     level = np.sort(hnsw.levels(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2), 16))[::-1]
     graph = hnsw.build(vectors[rng.permutation(1000)], level)
-    found = [i in graph.search(graph.vectors[i], 64)[:1] or np.allclose(graph.vectors[graph.search(graph.vectors[i], 64)[0]], graph.vectors[i]) for i in range(1000)]
-    assert np.mean(found) > 0.99
+    nearest_found = graph.search(graph.vectors, 64)[:, 0]
+    assert (nearest_found >= 0).all() and np.allclose(graph.vectors[nearest_found], graph.vectors, atol=1e-6)
+    assert [layer.shape[1] for layer in graph.links] == [32] + [16] * (len(graph.links) - 1)
+
+
+@pytest.mark.parametrize("kind", ["normal", "clusters", "line"])
+def test_search_in_step_finds_what_brute_force_finds(kind):
+    rng = np.random.default_rng(5)
+    n, dim = 4000, 24
+    vectors = rng.normal(size=(n, dim))
+    if kind == "clusters":
+        vectors = rng.normal(size=(8, dim))[rng.integers(0, 8, n)] * 10 + vectors * 0.01
+    if kind == "line":
+        vectors = np.outer(rng.permutation(n), np.ones(dim))
+    level = np.sort(hnsw.levels(rng.integers(0, 2**62, n).astype(np.uint64) * np.uint64(4), 16))[::-1]
+    vectors = vectors.astype(np.float32)
+    graph = hnsw.build(vectors, level)
+    asked = vectors[:200]
+    found = graph.search(asked, 160)
+    exact = ((asked[:, None, :].astype(np.float64) - vectors[None]) ** 2).sum(axis=2).argsort(axis=1, kind="stable")[:, :10]
+    assert np.mean([len(set(e) & set(f)) for e, f in zip(exact.tolist(), found.tolist(), strict=True)]) >= 9.7
+    assert all(len(set(row)) == len(row) for row in found.tolist())  # a node is found once
+
+
+def test_graph_of_few_nodes():
+    for n in (1, 2, 3):
+        graph = hnsw.build(np.eye(4, dtype=np.float32)[:n], np.zeros(n, np.int64))
+        assert sorted(graph.search(np.eye(4, dtype=np.float32)[:1], 20)[0][:n].tolist()) == list(range(n))
+
+
+def test_an_id_with_several_vectors_has_one_answer(spark):
+    rows = [(100, [1.0, 0.0]), (100, [5.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 0.5]), (2, [3.0, 0.0]), (200, [9.0, 0.0]), (200, [9.0, 0.0])]
+    found = hits(nearest(frame(spark, rows)))
+    assert found[100] == [(0.5, 1), (2.0, 2), (4.0, 200)]
+    assert found[200] == [(4.0, 100), (pytest.approx(np.hypot(4, 0.5)), 1), (6.0, 2)]
+    one = hits(nearest(frame(spark, rows), shard_bytes=300, query_block=1))
+    assert one == found
