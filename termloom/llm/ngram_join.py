@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import write_shared
+from termloom.llm.common import mix64, write_shared
 from termloom.llm.components import components
 from termloom.llm.words import slices, split_words
 
@@ -42,13 +42,6 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
     return best
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of the splitmix64 generator."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def grams(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words and where each text's start; hashes of all n-grams and where each text's start. A text
     of fewer words than ``size`` has one n-gram, all its words."""
@@ -191,20 +184,22 @@ def ngram_join(
     recall: float = 0.9995,
     block_texts: int = 512,
     block_words: int = 1 << 21,
+    with_text_key: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, class_docs, copies, links, keeps.
+    """One row per document: doc_id, class_id, class_docs, copies, links, keeps; ``with_text_key`` adds text_key, the
+    64-bit hash of the text that tells rows of one id apart.
 
     Words are what white space separates, lower-cased. Two documents are linked if the sets of their n-grams of
     ``size`` words have a Jaccard similarity of ``threshold`` or more, or all their words are equal. ``links`` is
     the number of other documents linked to this one, ``copies`` those of equal words among them; classes are the
     connected components, named by their least id, and ``keeps`` is true for the document of that id. A pair at
     the threshold is found with probability ``recall``, more similar ones with a higher one; what is found is
-    exact.
+    exact, up to collisions of the n-grams' 64-bit hashes.
 
     Null and empty texts are copies of one another. A text of fewer than ``size`` words is near no different text.
     Rows with a null id take part; a class without any id has a null class_id and keeps all. Rows that repeat the
-    id that stays are all kept. An empty table gives an empty result. Other columns of ``docs`` are not read. A
-    bucket is cut so that a task holds at most two blocks of ``block_texts`` texts or ``block_words`` words.
+    id that stays are all kept. An empty table gives an empty result. Other columns of ``docs`` are not read. Texts
+    of any length are compared whole; the longest text bounds what a task holds. A bucket is cut so that a task holds at most two blocks of ``block_texts`` texts or ``block_words`` words.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -253,5 +248,16 @@ def ngram_join(
     by_node = by_node.select("node", "class_id", "class_docs", (F.col("copies") - 1).alias("copies"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     # Written, so that the join shuffles both sides and Spark can split a text that very many documents have.
     by_node = write_shared(by_node, "ngram-classes")
-    out = signs.select("doc_id", "node").join(by_node, "node")
-    return out.select("doc_id", "class_id", "class_docs", "copies", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keeps"))
+    out = signs.select("doc_id", "text_key", "node").join(by_node, "node")
+    keeps = F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keeps")
+    return out.select("doc_id", "class_id", "class_docs", "copies", "links", keeps, *(["text_key"] if with_text_key else []))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``ngram_join`` keeps, with all their columns. What decides is the row, its id and its
+    text, so that of rows that share an id, or have none, each goes or stays by its own text."""
+    kept = ngram_join(docs, id_col, text_col, with_text_key=True).where("keeps").select("doc_id", "text_key").distinct()
+    kept = write_shared(kept, "ngram-kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_key"))
+    same = (F.col("row_key") == F.col("text_key")) & F.col("row_id").eqNullSafe(F.col("doc_id"))
+    return rows.join(kept, same, "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
