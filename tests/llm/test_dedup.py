@@ -11,7 +11,7 @@ from oracle import assert_same, duck
 
 from termloom.llm import queries
 from termloom.llm.components import components
-from termloom.llm.exact_dedup import build_directory, exact_dedup, fill_buckets, look_up, route
+from termloom.llm.exact_dedup import build_directory, deepen, exact_dedup, fill_buckets, look_up, route
 from termloom.llm.line_dedup import line_dedup
 from termloom.llm.ngram_join import choose_bands, ngram_join, verify
 
@@ -77,6 +77,30 @@ def test_buckets_decide_which_texts_are_equal(spark):
     assert {r.key: r.bucket for r in route(keyed, 2, [0, 1, 2, 2]).collect()} == {0: 0, 1 << 62: 1, -1: 2, -(1 << 62): 2}
 
 
+@pytest.mark.parametrize(("max_depth", "key_bits"), [(2, 64), (0, 64), (6, 64), (2, 4)])
+def test_buckets_hold_no_more_than_their_capacity(spark, max_depth, key_bits):
+    """Beyond the directory's depth, too, unless hashes agree in all bits that can tell them apart."""
+    rows = [(i, f"Text {i % 500}") for i in range(1500)]
+    found = exact_dedup(docs(spark, rows), bucket_capacity=4, max_depth=max_depth, key_bits=key_bits).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in found} == {i: (1000 + i % 500, 3) for i, _ in rows}
+    held = defaultdict(set)
+    for r in found:
+        held[r.bucket].add(r.text_sha256)
+    assert sum(map(len, held.values())) == 500  # no text is in two buckets
+    if key_bits == 64:
+        assert max(map(len, held.values())) <= 4
+    else:
+        assert len(held) == 4 and max(r.chain for r in found) > 4  # 16 hashes, 4 of them in each bucket
+
+
+def test_deepen(spark):
+    keys = spark.createDataFrame([(0,), (1 << 60,), (1 << 57,), (-1,), (-2,)], "key long")
+    assert deepen(keys, 2, [0, 3], 1) == {0: 5, 3: 16}
+    assert deepen(keys, 2, [0], 2) == {0: 2}
+    deep = {r.key: r.bucket for r in route(keys, 2, [0, 1, 2, 3], {0: 5}).collect()}
+    assert deep == {0: 0, 1 << 57: 4, 1 << 60: 32, -1: 3, -2: 3}
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).collect() == []
 
