@@ -29,19 +29,24 @@ def _document(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(id_col), F.col(id_col), F.col(text_col))
 
 
+def _key(*parts: Column) -> Column:
+    """96 bits of two hash functions, so that foreign lines do not meet by chance among very many."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b"))
+
+
 def template_keys(tokens: Column, n: Column, leading: int, min_tokens: int, short_tokens: int | None = None) -> Column:
     """Keys of a line's templates: the exact one, then one for each run of tokens left variable, or, in a line of
     ``short_tokens`` or more that is too short for runs, one for each token left variable."""
     third = F.floor(n / 3).cast("int")
     ends = [F.lit(0), third, 2 * third, n]
-    runs = [F.xxhash64(F.slice(tokens, ends[i] + 1, ends[i + 1] - ends[i])) for i in range(3)]
-    head = F.xxhash64(F.slice(tokens, 1, leading))
-    general = [F.xxhash64(F.lit(i), head, *[runs[j] for j in range(3) if j != i]) for i in range(3)]
-    exact = F.xxhash64(F.lit(3), *runs)
+    runs = [_key(F.slice(tokens, ends[i] + 1, ends[i + 1] - ends[i])) for i in range(3)]
+    head = _key(F.slice(tokens, 1, leading))
+    general = [_key(F.lit(i), head, *[runs[j] for j in range(3) if j != i]) for i in range(3)]
+    exact = _key(F.lit(3), *runs)
     keys = F.when(n >= min_tokens, F.array(exact, *general))
     if short_tokens is not None:
         places = F.sequence(F.lit(leading), n - 1)  # fewer than min_tokens
-        one = F.transform(places, lambda i: F.xxhash64(F.lit(4), i, F.slice(tokens, F.lit(1), i), F.slice(tokens, i + 2, n)))
+        one = F.transform(places, lambda i: _key(F.lit(4), i, F.slice(tokens, F.lit(1), i), F.slice(tokens, i + 2, n)))
         keys = keys.when(n >= max(short_tokens, leading + 1), F.concat(F.array(exact), one))
     return keys.otherwise(F.array(exact))
 
@@ -65,7 +70,7 @@ def parse_lines(
     columns = ["doc_id", "doc", "place", "n", template_keys(F.col("tokens"), F.col("n"), leading, min_tokens, short_tokens).alias("keys")]
     if exact:
         own = F.when(F.col("line.own") == F.col("line.line"), F.col("tokens")).otherwise(_tokens(F.col("line.own")))
-        columns.append(F.xxhash64(own).alias("exact"))
+        columns.append(_key(own).alias("exact"))
     return lines.select(*columns)
 
 
@@ -128,7 +133,7 @@ def line_dedup(
     ``dropped`` (how many there were, and how many went).
 
     Lines end at a line feed; blank lines always stay. Null text stays null with no lines; an empty text has one
-    blank line. A line that recurs within one document only stays. Documents are told apart by id and text: rows
+    blank line. Lines and texts of any length are read whole. A line that recurs within one document only stays. Documents are told apart by id and text: rows
     that repeat both count as one and lose the same lines; null ids sort first. An empty table gives an empty
     result. Columns of any name pass through untouched.
 
