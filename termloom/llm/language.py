@@ -4,7 +4,7 @@ Each slot of one table holds a bit per language. The slots of an n-gram, and-ed,
 that have it, in one look-up for all languages. A document's n-grams give a count per language; the number of
 false positives to expect from the language's fill is taken off; the largest corrected count decides.
 
-The n-grams of a language are those frequent in a bounded sample of its labelled documents.
+The n-grams of a language are all those of a bounded sample of its labelled documents.
 """
 
 from __future__ import annotations
@@ -17,19 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import crc32_mod
+from termloom.llm.common import crc32_mod, mix64, write_shared
 from termloom.llm.words import Words, slices, split_words
 
 GRAMS = (2, 3, 4)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of the splitmix64 generator."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of runs of letters, each run with a space at both ends; the word of each n-gram; and
     how many letters each word has."""
@@ -116,28 +109,26 @@ class LanguageFilters:
         return names, np.where(lettered, score, 0.0)
 
 
-def build_filters(counts: list[tuple[str, int, int]], hashes: int = 4, slots_per_gram: int = 8, share: float = 0.3) -> LanguageFilters | None:
-    """Filters from (language, n-gram hash, count). A language gets an n-gram if its relative frequency there is
-    at least ``share`` of the highest among languages."""
+def build_filters(counts: list[tuple[str, int, int]], hashes: int = 4, slots_per_gram: int = 8) -> LanguageFilters | None:
+    """Filters from (language, n-gram hash, count): each language gets all of its n-grams."""
     if not counts:
         return None
     languages = sorted({c[0] for c in counts})
     number = {name: i for i, name in enumerate(languages)}
     lang = np.array([number[c[0]] for c in counts])
     gram = np.array([c[1] for c in counts], np.int64).view(np.uint64)
-    n = np.array([c[2] for c in counts], float)
-    totals = np.bincount(lang, n)
-    rate = n / totals[lang]
-    _, inverse = np.unique(gram, return_inverse=True)
-    highest = np.zeros(inverse.max() + 1)
-    np.maximum.at(highest, inverse, rate)
-    own = rate >= share * highest[inverse]
-    slots = 1 << int(slots_per_gram * own.sum() - 1).bit_length()
-    filters = LanguageFilters(languages, np.zeros((max(64, slots), (len(languages) + 63) // 64), np.uint64), hashes, int(totals.argmax()))
-    filters.add(gram[own], lang[own])
+    totals = np.bincount(lang, [c[2] for c in counts])
+    filters = empty_filters(languages, len(set(gram.tolist())), int(totals.argmax()), hashes, slots_per_gram)
+    filters.add(gram, lang)
     return filters
 
 
+def empty_filters(languages: list[str], grams: int, prior: int, hashes: int = 4, slots_per_gram: int = 8) -> LanguageFilters:
+    """Filters with room for so many different n-grams."""
+    slots = 1 << max(6, int(slots_per_gram * grams - 1).bit_length())
+    return LanguageFilters(languages, np.zeros((slots, (len(languages) + 63) // 64), np.uint64), hashes, prior)
+
+
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of batches with lang and text, summed over slices."""
     for batch in batches:
@@ -158,9 +149,28 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def learn_filters(labelled: DataFrame, docs_per_language: int = 2000, grams_per_language: int = 20_000) -> LanguageFilters | None:
+SLOTS = "slot long, word int, bits long"
+
+
+def _slots(filters: LanguageFilters, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the filters that the n-grams of batches (lang, gram) set bits in, or-ed within each batch."""
+    number = {name: i for i, name in enumerate(filters.languages)}
+    for batch in batches:
+        grams = batch.column("gram").to_numpy().view(np.uint64)
+        langs = np.array([number[name] for name in batch.column("lang").to_pylist()], np.int64)
+        for slot in filters.slots(grams):
+            keys, place = np.unique(slot * filters.masks.shape[1] + langs // 64, return_inverse=True)
+            bits = np.zeros(len(keys), np.uint64)
+            np.bitwise_or.at(bits, place, np.uint64(1) << (langs % 64).astype(np.uint64))
+            at, word = np.divmod(keys, filters.masks.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["slot", "word", "bits"])
+
+
+def learn_filters(labelled: DataFrame, docs_per_language: int = 2000) -> LanguageFilters | None:
     """Learn from a sample of ``labelled`` (doc_id, text, lang): of each language, the ``docs_per_language``
-    documents with the lowest hashes of their ids."""
+    documents with the lowest hashes of their ids. All n-grams of the sample go into the filters, whose size follows
+    from how many there are. The executors or them into the filters' words; the words that have bits come to the
+    driver, as many as the filters that every executor then holds."""
     by_hash = Window.partitionBy("lang").orderBy("pick", "doc_id")
     ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("pick")).distinct()
     chosen = ids.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= docs_per_language)
@@ -168,9 +178,19 @@ def learn_filters(labelled: DataFrame, docs_per_language: int = 2000, grams_per_
     sample = labelled.join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"])
     sample = sample.groupBy("lang", "doc_id").agg(F.max("text").alias("text")).select("lang", "text")
     counted = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("place", F.row_number().over(frequent)).where(F.col("place") <= grams_per_language)
-    return build_filters([(r[0], r[1], r[2]) for r in top.select("lang", "gram", "n").collect()])
+    counted = write_shared(counted, "language-grams")
+    totals = sorted(tuple(r) for r in counted.groupBy("lang").agg(F.sum("n")).collect())  # a row per language
+    if not totals:
+        return None
+    grams = counted.agg(F.count_distinct("gram")).first()[0]
+    most = max(range(len(totals)), key=lambda i: totals[i][1])
+    names = [lang for lang, _ in totals]
+    words = counted.select("lang", "gram").mapInArrow(lambda batches: _slots(empty_filters(names, grams, most), batches), SLOTS)
+    filters = empty_filters(names, grams, most)
+    found = words.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slot, word, bits = (found.column(c).to_numpy() for c in ("slot", "word", "bits"))
+    filters.masks[slot, word] = bits.view(np.uint64)
+    return filters
 
 
 def identify_language(
@@ -181,15 +201,15 @@ def identify_language(
     folds: int = 3,
     held_out_fold: int = 1,
     docs_per_language: int = 2000,
-    grams_per_language: int = 20_000,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Documents whose crc32 of the id, modulo ``folds``, is ``held_out_fold`` are held out of learning; rows with a
     null id are neither held out nor learned from. A null text, or one without letters, is ``und`` with score 0;
-    so is every text if nothing could be learned. A text with letters of which no n-gram is known gets the
+    so is every text if nothing could be learned, which leaves no other name to give. A text with letters of which no n-gram is known gets the
     language with most n-grams and score 0. Of tied languages the first by name is taken. Repeated rows are
-    predicted alike; an empty table gives an empty result; other columns of ``docs`` are not read.
+    predicted alike; an empty table gives an empty result; other columns of ``docs`` are not read. Texts of any length
+    are read whole, in slices of batches.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -197,7 +217,7 @@ def identify_language(
     fold = crc32_mod("doc_id", folds)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != held_out_fold))
-    filters = spark.sparkContext.broadcast(learn_filters(labelled, docs_per_language, grams_per_language))
+    filters = spark.sparkContext.broadcast(learn_filters(labelled, docs_per_language))
     texts = rows.select("doc_id", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), "text")
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
