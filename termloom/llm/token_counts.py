@@ -43,29 +43,34 @@ class UnigramCounter:
         self.unknown = (min(pieces.values(), default=0.0) if lowest is None else lowest) - UNKNOWN_PENALTY
         self.splits = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         self.newline_unknown = not any("\n" in piece for piece in pieces)
+        #: The best paths to as many last places as a piece may reach back; what lies before is not needed again.
+        self.reach = max(map(len, pieces), default=1) + 1
         self.known: dict[str, int] = {}
 
     def viterbi(self, text: str) -> int:
         """Number of pieces on the best path over ``text``, space marks already in place."""
-        n, pieces, unknown = len(text), self.pieces, self.unknown
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        pieces, unknown, reach = self.pieces, self.unknown, self.reach
+        score, count = [0.0] * reach, [0] * reach
         ends: Iterator[tuple[int, tuple[int, float]]] = self.automaton.iter(text) if pieces else iter(())
         match = next(ends, None)
+        here = 0
         for at, char in enumerate(text):
-            best, pieces_to, start = None, 0, n
+            best, pieces_to, start = None, 0, len(text)
             while match is not None and match[0] == at:
                 length, own = match[1]
                 begin = at + 1 - length
-                value = score[begin] + own
+                place = begin % reach
+                value = score[place] + own
                 if best is None or value > best or (value == best and begin < start):
-                    best, pieces_to, start = value, count[begin] + 1, begin
+                    best, pieces_to, start = value, count[place] + 1, begin
                 match = next(ends, None)
             if char not in pieces:
-                value = score[at] + unknown
+                value = score[here] + unknown
                 if best is None or value > best:
-                    best, pieces_to = value, count[at] + len(char.encode("utf-8", "surrogatepass"))
-            score[at + 1], count[at + 1] = best, pieces_to
-        return count[n]
+                    best, pieces_to = value, count[here] + len(char.encode("utf-8", "surrogatepass"))
+            here = (at + 1) % reach
+            score[here], count[here] = best, pieces_to
+        return count[here]
 
     def part(self, part: str) -> int:
         found = self.known.get(part)
@@ -75,11 +80,21 @@ class UnigramCounter:
             found = self.known[part] = self.viterbi(part)
         return found
 
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Counts of texts that are not cut into parts."""
+        return np.array([self.viterbi(SPACE + t.replace(" ", SPACE)) if t else 0 for t in texts.to_pylist()], np.int64)
+
     def texts(self, texts: pa.Array) -> np.ndarray:
         """Counts of all texts; null and empty texts have none."""
         texts = pc.fill_null(texts, "")
-        if not self.splits or pc.any(pc.match_substring(texts, CUT)).as_py():
-            return np.array([self.viterbi(SPACE + t.replace(" ", SPACE)) if t else 0 for t in texts.to_pylist()], np.int64)
+        if not self.splits:
+            return self.whole(texts)
+        marks = pc.match_substring(texts, CUT)
+        if pc.any(marks).as_py():
+            at = np.flatnonzero(marks.to_numpy(zero_copy_only=False))
+            counts = self.texts(pc.if_else(marks, "", texts))
+            counts[at] = self.whole(texts.take(pa.array(at)))
+            return counts
         marked = pc.replace_substring(pc.binary_join_element_wise(SPACE, texts, ""), " ", SPACE)
         marked = pc.if_else(pc.equal(texts, ""), "", marked)
         parts = pc.replace_substring_regex(marked, f"([^{SPACE}]){SPACE}", f"\\1{CUT}{SPACE}")
@@ -94,7 +109,8 @@ class UnigramCounter:
 
 @lru_cache(maxsize=2)
 def counter_of(model_path: str) -> UnigramCounter:
-    """Pieces and scores of a sentencepiece model file, read as a unigram vocabulary."""
+    """Pieces and scores of a sentencepiece model file, read as a unigram vocabulary. (A file of another kind, as the
+    one that the query uses, gives counts that are right for these scores and are no other tokenizer's counts.)"""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=model_path)
@@ -109,7 +125,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     A text is read as one line with a space mark before it and for each space, nothing else normalised. Null and
     empty texts have 0 tokens. Rows with null or repeated ids keep their own row; an empty table gives an empty
-    result; other columns of ``docs`` are not read. Map-only: no shuffle.
+    result; other columns of ``docs`` are not read. A text of any length is counted whole; beside the text itself a
+    part of it takes memory for as many places as the longest piece has. Map-only: no shuffle.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
