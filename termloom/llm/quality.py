@@ -200,11 +200,11 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sums += context_sums(runs(part.column("text")), index)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.int32).tobytes()], pa.binary())], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
     for row in sample.select("text").coalesce(8).mapInArrow(contexts, "sums binary").collect():
-        sums += np.frombuffer(row[0], np.int32).reshape(BUCKETS, DIMENSIONS)
+        sums += np.frombuffer(row[0], np.int64).reshape(BUCKETS, DIMENSIONS)
     norms = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
     near = np.rint(sums * (SCALE * NONZERO**0.5) / np.maximum(norms, 1e-9))
     table = (index * SCALE + near).astype(np.int32)
@@ -241,7 +241,8 @@ def score_quality(
     given twice counts as the lower one; null labels and ids are passed over. ``sample_docs`` bounds the labelled
     documents that are learned from. Null text is an empty text; both get a score. Without any label every score
     is 0.5. Rows with a null id are scored and not held out; repeated rows are scored alike; an empty table gives
-    an empty result. The score depends on the text alone. Scoring is map-only.
+    an empty result. The score depends on the text alone, on all of it: very long texts are pooled whole, in pieces
+    of ``PIECE`` words. Scoring is map-only.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
