@@ -19,10 +19,12 @@ import numpy as np
 
 #: Rows that are handled at a time.
 BLOCK = 256
+#: Pairs whose distances are computed at a time.
+CHUNK = 1 << 10
 #: Nodes of each row's beam that a step opens.
-OPENED = 4
-#: A row's memory of nodes that it has met, as a power of two. What is forgotten is only met again.
-MET = 1 << 11
+OPENED = 8
+#: Bytes of the marks of the nodes that each of a number of searches has met.
+MARKS = 1 << 26
 #: Beam on the way down through the layers above.
 DESCENT = 4
 #: Nearest nodes of a batch that a node of the same batch is offered.
@@ -56,8 +58,17 @@ def select(vectors: np.ndarray, base: np.ndarray, near: np.ndarray, distance: np
 
 
 def _gaps(vectors: np.ndarray, nodes: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    difference = vectors[nodes] - queries[rows]
-    return np.einsum("nd,nd->n", difference, difference)
+    """Squared distances of pairs, in chunks that the processor's cache holds."""
+    out = np.empty(len(nodes), vectors.dtype)
+    left = np.empty((min(CHUNK, len(nodes)), vectors.shape[1]), vectors.dtype)
+    right = np.empty_like(left)
+    for a in range(0, len(nodes), CHUNK):
+        n = min(CHUNK, len(nodes) - a)
+        np.take(vectors, nodes[a : a + n], axis=0, out=left[:n], mode="clip")
+        np.take(queries, rows[a : a + n], axis=0, out=right[:n], mode="clip")
+        np.subtract(left[:n], right[:n], out=left[:n])
+        np.einsum("nd,nd->n", left[:n], left[:n], out=out[a : a + n])
+    return out
 
 
 def _ragged(rows: np.ndarray, height: int) -> tuple[np.ndarray, int]:
@@ -79,9 +90,9 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         order = np.argsort(gaps, axis=1, kind="stable")[:, :beam]
         nodes, gaps = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(gaps, order, axis=1)
     opened = nodes < 0
-    met = np.full((height, MET), -1, np.int32)
+    met = np.zeros((height, len(links)), bool)
     row, place = np.nonzero(nodes >= 0)
-    met[row, nodes[row, place] & (MET - 1)] = nodes[row, place]
+    met[row, nodes[row, place]] = True
     live, step = np.arange(height), min(OPENED, beam)
     out_nodes, out_gaps = nodes.copy(), gaps.copy()
     while len(live):
@@ -103,17 +114,14 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         fresh[:, 1:] &= offered[:, 1:] != offered[:, :-1]
         row, place = np.nonzero(fresh)
         node = offered[row, place]
-        slot = node & (MET - 1)
-        new = met[live[row], slot] != node
-        row, node, slot = row[new], node[new], slot[new]
-        met[live[row], slot] = node
+        new = ~met[live[row], node]
+        row, node = row[new], node[new]
+        met[live[row], node] = True
         gap = _gaps(vectors, node, queries, live[row])
         better = gap < gaps.max(axis=1)[row]
         row, node, gap = row[better], node[better], gap[better]
         if not len(row):
             continue
-        new = ~(nodes[row] == node[:, None]).any(axis=1)  # a node that was forgotten may still be in the beam
-        row, node, gap = row[new], node[new], gap[new]
         place, most = _ragged(row, len(live))
         more_nodes, more_gaps = np.full((len(live), most), -1, np.int32), np.full((len(live), most), np.inf, gaps.dtype)
         more_nodes[row, place], more_gaps[row, place] = node, gap
@@ -126,6 +134,11 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
     return np.take_along_axis(out_nodes, order, axis=1), np.take_along_axis(out_gaps, order, axis=1)
 
 
+def at_once(nodes: int, most: int) -> int:
+    """Searches that go through a graph of so many nodes in step."""
+    return max(32, min(most, MARKS // max(1, nodes)))
+
+
 class Layer:
     """Links of one layer while it grows: room for ``slack`` more than ``most`` before a node is pruned."""
 
@@ -215,8 +228,9 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
         """Up to ``beam`` near nodes of each query, nearest first, -1 for none: array (queries, beam)."""
         out = np.full((len(queries), beam), -1, np.int32)
-        for a in range(0, len(queries), BLOCK):
-            part = queries[a : a + BLOCK].astype(self.vectors.dtype)
+        rows = at_once(len(self.vectors), BLOCK)
+        for a in range(0, len(queries), rows):
+            part = queries[a : a + rows].astype(self.vectors.dtype)
             at = np.zeros((len(part), 1), np.int32)
             for layer in reversed(self.links[1:]):
                 at, _ = beam_search(self.vectors, layer, part, at, DESCENT)
@@ -232,7 +246,7 @@ def build(vectors: np.ndarray, level: np.ndarray, links: int = 16, width: int =
     before = [np.full(size, -1, np.int64) for size in sizes]
     a = min(1, n)  # the first node has nothing to be linked to
     while a < n:
-        b = min(n, a + min(batch, a))
+        b = min(n, a + min(at_once(n, batch), a))
         queries, at = vectors[a:b], np.zeros((b - a, 1), np.int32)
         near, distance = _peers(vectors, a, b)
         for number in range(top, -1, -1):

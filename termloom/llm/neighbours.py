@@ -97,9 +97,9 @@ def nearest(
     k: int = 10,
     shard_bytes: int = 128 << 20,
     query_block: int = 1 << 18,
-    links: int = 20,
-    width: int = 64,
-    beam: int = 640,
+    links: int = 16,
+    width: int = 24,
+    beam: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_mod``, its ``k`` nearest.
 
