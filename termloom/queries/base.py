@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators import bags
 from termloom.sources.index import Index
-from termloom.sources.workspace import new_path
+from termloom.sources.workspace import new_path, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,19 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _stored(spark: SparkSession, application: str, sf_dir: str) -> Index:
-    return build_index(spark, sf_dir).save(new_path(spark, "index"))
+#: By application and folder, the state of the table that the index was built from, and the index. One application's.
+_STORED: dict[tuple[str, str], tuple[tuple, Index]] = {}
 
 
 def build_index(spark: SparkSession, sf_dir: str) -> Index:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Index.build(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id", "text", unique=True)
+    return Index.build(table(spark, sf_dir, "documents"), "doc_id", "text", unique=True)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``documents``: built and saved once per session, then read from its snapshot."""
-    return _stored(spark, spark.sparkContext.applicationId, sf_dir)
+    """The index of ``documents``: built and saved once per session and state of the table, then read from its
+    snapshot."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/documents.parquet")
+    if key not in _STORED or _STORED[key][0] != state:
+        for old in [k for k in _STORED if k[0] != key[0]]:
+            del _STORED[old]
+        _STORED[key] = (state, build_index(spark, sf_dir).save(new_path(spark, "index")))
+    return _STORED[key][1]
 
 
 def keys_of(index: Index) -> DataFrame:
@@ -83,3 +86,10 @@ INDEX_SQL = (
   SELECT key, sqrt(sum(pow(tf * CAST(idf AS DOUBLE), 2))) AS norm FROM post JOIN idf USING (term) GROUP BY key
 )"""
 )
+
+#: Counts of ``post`` as 16-bit floats hold their square roots: half (key, term, h).
+HALF_SQL = """, halves AS (
+  SELECT key, term, CAST(CAST(sqrt(CAST(tf AS FLOAT)) AS FLOAT) AS DOUBLE) AS x FROM post
+), half AS (
+  SELECT key, term, round_even(x / pow(2.0, floor(log2(x)) - 10), 0) * pow(2.0, floor(log2(x)) - 10) AS h FROM halves
+)"""

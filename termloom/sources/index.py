@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termloom.functions.text import tokens
 from termloom.functions.weights import EXACT, Engine
@@ -18,12 +19,41 @@ from termloom.sources.workspace import remove
 
 
 KEPT_TERMS = 100_000
+#: Most postings of one term in a task that writes them.
+SLICE_ROWS = 1 << 20
+#: Postings in a folder, about.
+FOLDER_ROWS = 1 << 24
 
 
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+def forward_of(counted: DataFrame) -> DataFrame:
+    """One row per document: key, doc_len, n_terms, terms in byte order, tfs. ``counted`` has (key, term, tf, doc_len)
+    and, for a document without terms, a row with a null term."""
+    pair = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    rows = counted.groupBy("key").agg(F.max("doc_len").alias("doc_len"), F.sort_array(F.collect_list(pair)).alias("pairs"))
+    size = F.size("pairs").cast("long").alias("n_terms")
+    return rows.select("key", "doc_len", size, F.col("pairs.term").alias("terms"), F.col("pairs.tf").alias("tfs"))
+
+
+def unfold(forward: DataFrame, *columns: str) -> DataFrame:
+    """Postings of documents in the form of ``forward_of``."""
+    each = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+    return forward.select("key", each, "doc_len", *columns)
+
+
+@dataclass(frozen=True)
+class Weights:
+    """A table of (term, idf) as it was at some time, for scoring that does not follow the corpus."""
+
+    terms: DataFrame
+
+    def of(self, terms: Iterable[str]) -> dict[str, float]:
+        return {r.term: r.idf for r in self.terms.where(F.col("term").isin(sorted(set(terms)))).collect()}
+
+
 @dataclass(frozen=True)
 class Index:
     """``postings``: (key, term, tf, doc_len), tf the true count; ``docs``: (key, doc_len, n_terms), one row per
@@ -31,9 +61,13 @@ class Index:
     documents and their mean length belong to this index, df and N to the bound corpus, which may be shared. An
     index without a bound vocabulary or corpus has those of its own postings.
 
-    ``buckets`` above 0 says that the postings are a stored table partitioned by ``term_bucket``, so that a query
-    reads only the folders of its terms. ``normed`` says that they carry ``norm``, the length of the document's
-    weighted vector under the bound corpus.
+    ``buckets`` above 0 says that the index is stored: postings are partitioned by ``term_bucket``, so that a query
+    reads only the folders of its terms, and ``stored`` has a row per document (as ``forward_of`` makes them),
+    partitioned by ``key_bucket``, so that the look-up of one document reads one folder. ``normed`` says that both
+    carry ``norm``, the length of the document's weighted vector under the bound corpus.
+
+    ``frozen`` has the weights that a search with ``check=False`` uses. ``own_vocab`` says that the vocabulary is that
+    of the bound corpus.
     """
 
     postings: DataFrame
@@ -45,21 +79,39 @@ class Index:
     normed: bool = False
     facts: tuple[int, float] | None = None
     frequencies: dict[str, int | None] = field(default_factory=dict, compare=False)
+    stored: DataFrame | None = None
+    frozen: Weights | None = None
+    own_vocab: bool = False
 
     @staticmethod
-    def build(rows: DataFrame, key: str, text: str | None = None, terms: str | None = None, corpus: Corpus | None = None, engine: Engine = EXACT, unique: bool = False) -> Index:
-        """Index rows of text, or of arrays of terms. Of rows that share a key, one is kept (the greatest);
-        ``unique`` says that there are none, and saves the shuffle that would find them."""
-        own = tokens(text) if text else F.col(terms)
-        rows = rows.select(F.col(key).alias("key"), own.alias("terms"))
-        if not unique:
-            rows = rows.groupBy("key").agg(F.max("terms").alias("terms"))
-        rows = rows.select("key", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-        length = F.size("terms").cast("long").alias("doc_len")
-        each = rows.select("key", length, F.explode("terms").alias("term"))
-        postings = each.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-        docs = rows.select("key", length, F.size(F.array_distinct("terms")).cast("long").alias("n_terms"))
-        return Index(postings, docs, bound_corpus=corpus, engine=engine)
+    def build(
+        rows: DataFrame,
+        key: str,
+        text: str | None = None,
+        terms: str | None = None,
+        corpus: Corpus | None = None,
+        engine: Engine = EXACT,
+        unique: bool = False,
+        order: str | None = None,
+    ) -> Index:
+        """Index rows of text, or of arrays of terms. Of rows that share a key the last one by ``order`` is kept, and
+        of those that share that too, or without it, the greatest; ``unique`` says that there are none.
+
+        Rows are shuffled by key once. All that follows (counts, documents) stays in the partitions of that."""
+        spark = rows.sparkSession
+        rows = rows.select(F.col(key).alias("key"), F.col(text or terms).alias("raw"), (F.col(order) if order else F.lit(0)).alias("turn"))
+        if unique:
+            parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            rows = rows.repartition(parts, "key")
+        else:
+            rows = rows.groupBy("key").agg(F.max(F.struct("turn", "raw")).alias("last")).select("key", "last.raw")
+        own = tokens("raw") if text else F.coalesce("raw", F.array().cast("array<string>"))
+        rows = rows.select("key", own.alias("terms"))
+        each = rows.select("key", F.size("terms").cast("long").alias("doc_len"), F.explode_outer("terms").alias("term"))
+        counted = each.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+        forward = forward_of(counted)
+        docs = rows.select("key", F.size("terms").cast("long").alias("doc_len"), F.size(F.array_distinct("terms")).cast("long").alias("n_terms"))
+        return Index(counted.where(F.col("term").isNotNull()), docs, bound_corpus=corpus, engine=engine, stored=forward)
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -67,7 +119,18 @@ class Index:
 
     @cached_property
     def corpus(self) -> Corpus:
-        return Corpus.of(self.postings) if self.bound_corpus is None else self.bound_corpus
+        if self.bound_corpus is not None:
+            return self.bound_corpus
+        terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return Corpus(terms, self.docs.where("n_terms > 0").count)
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        """Documents as rows, in the form of ``forward_of``, with norm if there is one."""
+        if self.stored is not None:
+            return self.stored
+        own = self.postings.select("key", "term", "tf", "doc_len")
+        return forward_of(own.unionByName(self.docs.select("key", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), "doc_len")))
 
     @cached_property
     def _facts(self) -> tuple[int, float]:
@@ -95,15 +158,22 @@ class Index:
 
     def with_corpus(self, corpus: Corpus) -> Index:
         """The same documents under other statistics."""
-        return replace(self, bound_vocab=self.vocab, bound_corpus=corpus, normed=False, frequencies={})
+        return replace(self, bound_vocab=self.vocab, bound_corpus=corpus, normed=False, frequencies={}, own_vocab=False)
 
     def with_engine(self, engine: Engine) -> Index:
         return replace(self, engine=engine, normed=False)
 
+    def freeze(self, path: str) -> Index:
+        """Writes the weights as they are now to ``path``. They stay with what this index becomes by changes, for
+        searches with ``check=False``, until it is frozen again."""
+        self.idf().select("term", "idf").sortWithinPartitions("term").write.parquet(path)
+        return replace(self, frozen=Weights(self.docs.sparkSession.read.parquet(path)))
+
     def idf(self) -> DataFrame:
         """(term, df, idf) of all terms of the vocabulary."""
         df = F.coalesce("df", F.lit(0)).cast("long")
-        joined = self.vocab.join(self.corpus.terms, "term", "left").select("term", df.alias("df"))
+        joined = self.corpus.terms if self.own_vocab else self.vocab.join(self.corpus.terms, "term", "left")
+        joined = joined.select("term", df.alias("df"))
         return joined.withColumn("idf", self.engine.idf(F.lit(self.corpus.doc_num), F.col("df")))
 
     def known(self, terms: Iterable[str]) -> dict[str, int]:
@@ -122,15 +192,25 @@ class Index:
         """A count as the engine gives it back."""
         return self.engine.decode(self.engine.encode(tf))
 
-    def norms(self) -> DataFrame:
-        """(key, norm) of all documents with terms, under the bound corpus."""
-        weighted = self.postings.join(self.idf(), "term").select("key", (self.read_tf(F.col("tf")) * F.col("idf").cast("double")).alias("w"))
+    def norms(self, weights: Weights | None = None) -> DataFrame:
+        """(key, norm) of all documents with terms, under the bound corpus or other weights."""
+        idf = weights.terms if weights else self.idf()
+        weighted = self.postings.join(idf, "term").select("key", (self.read_tf(F.col("tf")) * F.col("idf").cast("double")).alias("w"))
         return weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
+    def _key_bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def tf(self, key: object) -> DataFrame:
+        """The bag of one document (key, term, tf); no rows for an unknown key. Of a stored index one folder is read."""
+        own = self.forward.where(F.col("key") == F.lit(key))
+        if self.buckets:
+            own = own.where(F.col("key_bucket") == self._key_bucket(F.lit(key).cast(self.forward.schema["key"].dataType)))
+        return unfold(own).drop("doc_len")
+
     def decoded(self, key: object) -> DataFrame:
         """The bag of one document as the engine gives it back; counts that become 0 are gone."""
-        own = self.postings.where(F.col("key") == F.lit(key))
-        return own.select("key", "term", self.read_tf(F.col("tf")).alias("tf")).where("tf > 0")
+        return self.tf(key).withColumn("tf", self.read_tf(F.col("tf"))).where("tf > 0")
 
     def decoded_all(self) -> DataFrame:
         return self.postings.select("key", "term", self.read_tf(F.col("tf")).alias("tf")).where("tf > 0")
@@ -149,12 +229,16 @@ class Index:
         known = self.vocab.select("term", F.lit(True).alias("has"))
         return bags.join(known, "term", "left").groupBy("key").agg(F.bool_and(F.coalesce("has", F.lit(False))).alias("has"))
 
+    def _plain(self) -> DataFrame:
+        return self.forward.select("key", "doc_len", "n_terms", "terms", "tfs")
+
     def delete(self, keys: DataFrame) -> Index:
         """Without the documents of these keys; unknown keys do nothing. The vocabulary stays."""
         gone = keys.select("key").distinct()
         removed = self.bags.join(gone, "key", "left_semi")
         kept = self.postings.select("key", "term", "tf", "doc_len").join(gone, "key", "left_anti")
-        return Index(kept, self.docs.join(gone, "key", "left_anti"), self.vocab, self.corpus.remove(removed), self.engine)
+        docs, forward = (t.join(gone, "key", "left_anti") for t in (self.docs, self._plain()))
+        return Index(kept, docs, self.vocab, self.corpus.remove(removed), self.engine, stored=forward, frozen=self.frozen)
 
     def merge(self, other: Index) -> Index:
         """Documents of both; of a key in both, the other's. The corpus then describes the merged documents, and its
@@ -163,43 +247,65 @@ class Index:
         left = self.postings.select("key", "term", "tf", "doc_len").join(keys, "key", "left_anti")
         postings = left.unionByName(other.postings.select("key", "term", "tf", "doc_len"))
         docs = self.docs.join(keys, "key", "left_anti").unionByName(other.docs)
+        forward = self._plain().join(keys, "key", "left_anti").unionByName(other._plain())
         vocab = self.vocab.union(other.vocab).distinct()
         replaced = self.bags.join(keys, "key", "left_semi")
         corpus = self.corpus.remove(replaced).add(other.bags)
-        return Index(postings, docs, vocab, corpus, self.engine)
+        return Index(postings, docs, vocab, corpus, self.engine, stored=forward, frozen=self.frozen)
 
-    def upsert(self, rows: DataFrame, key: str, text: str | None = None, terms: str | None = None) -> Index:
+    def upsert(self, rows: DataFrame, key: str, text: str | None = None, terms: str | None = None, order: str | None = None) -> Index:
         """With these documents added, or put in place of those of the same key."""
-        return self.merge(Index.build(rows, key, text, terms, engine=self.engine))
+        return self.merge(Index.build(rows, key, text, terms, engine=self.engine, order=order))
 
-    def save(self, path: str, buckets: int = 16, with_corpus: bool = True) -> Index:
-        """Write a snapshot and return the index that reads it. Postings are partitioned by a hash of the term and
-        sorted by term, so that a query reads only its terms' folders and row groups. With the corpus, they carry
-        the documents' norms; without it, the snapshot can be bound to any corpus."""
+    def save(self, path: str, buckets: int | None = None, with_corpus: bool = True, slice_rows: int = SLICE_ROWS) -> Index:
+        """Write a snapshot and return the index that reads it.
+
+        Texts are read once, into a table of documents; all else comes from that. Postings are partitioned by a hash
+        of the term and sorted by term, so that a query reads only its terms' folders and row groups; those of a term
+        that more than ``slice_rows`` documents have are dealt to several tasks and files. With the corpus, documents
+        and postings carry the documents' norms; without it, the snapshot can be bound to any corpus. There are
+        ``buckets`` folders of either kind, by default as many as hold ``FOLDER_ROWS`` postings each, 16 at least."""
         spark = self.docs.sparkSession
-        plain = self.postings.select("key", "term", "tf", "doc_len")
-        if with_corpus:  # what is derived from the postings is read from this copy, not computed from the texts again
-            plain.write.parquet(f"{path}/staged")
-            plain = spark.read.parquet(f"{path}/staged")
-        self.docs.write.parquet(f"{path}/docs")
-        staged = replace(self, postings=plain, docs=spark.read.parquet(f"{path}/docs"), buckets=0, normed=False)
+        self._plain().write.parquet(f"{path}/staged")
+        staged = spark.read.parquet(f"{path}/staged")
+        filled = F.count_if(F.col("n_terms") > 0)
+        doc_num, mean_len, rows, with_terms = staged.agg(F.count(F.lit(1)), F.coalesce(F.avg("doc_len"), F.lit(0.0)), F.coalesce(F.sum("n_terms"), F.lit(0)), filled).first()
+        buckets = buckets or max(16, -(-rows // FOLDER_ROWS))
+        plain = unfold(staged)
+        own = self.bound_corpus is None
+        docs = staged.select("key", "doc_len", "n_terms")
+        index = replace(self, postings=plain, docs=docs, stored=staged, buckets=buckets, normed=False, facts=(doc_num, mean_len), frozen=None)
+        facts = {"buckets": buckets, "normed": with_corpus, "doc_num": doc_num, "mean_len": mean_len, "own_vocab": self.bound_vocab is None and own}
+        terms = plain.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if with_corpus or own:
+            (terms if own else self.corpus.terms).sortWithinPartitions("term").write.parquet(f"{path}/corpus")
+            terms = spark.read.parquet(f"{path}/corpus")
+        corpus = Corpus(terms, with_terms) if own else Corpus(terms, self.corpus.added, self.corpus.removed)
+        vocab = terms.select("term") if facts["own_vocab"] else self.vocab
+        if not facts["own_vocab"]:
+            vocab.write.parquet(f"{path}/vocab")
+            vocab = spark.read.parquet(f"{path}/vocab")
+        index = replace(index, bound_vocab=vocab, bound_corpus=corpus, own_vocab=facts["own_vocab"])
         if with_corpus:
-            staged.corpus.terms.sortWithinPartitions("term").write.parquet(f"{path}/corpus")
-            stored = Corpus(spark.read.parquet(f"{path}/corpus"), staged.corpus.added, staged.corpus.removed)
-            own = stored.terms.select("term") if self.bound_vocab is None and self.bound_corpus is None else staged.vocab
-            staged = replace(staged, bound_vocab=own, bound_corpus=stored)
-            plain = plain.join(staged.norms(), "key")
-        staged.vocab.write.parquet(f"{path}/vocab")
-        parts = plain.withColumn("term_bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-        parts = parts.repartition(buckets, "term_bucket").sortWithinPartitions("term_bucket", "term", "key")
-        parts.write.partitionBy("term_bucket").parquet(f"{path}/postings")
-        facts = {"buckets": buckets, "normed": with_corpus, "doc_num": staged.doc_num, "mean_len": staged.mean_len}
+            facts |= {"added": corpus.added, "removed": corpus.removed}
+        parts = max(buckets, spark.sparkContext.defaultParallelism)
+        rows = staged
         if with_corpus:
-            facts |= {"added": staged.corpus.added, "removed": staged.corpus.removed}
+            rows = rows.join(index.norms(), "key", "left").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
+        rows = rows.withColumn("key_bucket", index._key_bucket(F.col("key"))).repartition(parts, "key_bucket")
+        rows.sortWithinPartitions("key_bucket", "key").write.partitionBy("key_bucket").parquet(f"{path}/documents")
+        facts["documents"] = rows.schema.jsonValue()
+        rows = unfold(spark.read.schema(rows.schema).parquet(f"{path}/documents"), *(["norm"] if with_corpus else []))
+        # Few terms, or no more than rows / slice_rows; a join that Spark may broadcast by its size.
+        often = terms.where(F.col("df") > slice_rows).select("term", F.ceil(F.col("df") / slice_rows).alias("slices"))
+        rows = rows.join(often, "term", "left").withColumn("slice", F.pmod(F.xxhash64("key"), F.coalesce("slices", F.lit(1))))
+        rows = rows.withColumn("term_bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+        rows = rows.repartition(parts, "term_bucket", "slice").drop("slice", "slices").sortWithinPartitions("term_bucket", "term", "key")
+        rows.write.partitionBy("term_bucket").parquet(f"{path}/postings")
+        facts["postings"] = rows.schema.jsonValue()
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
-        if with_corpus:
-            remove(spark, f"{path}/staged")
-        return Index.load(spark, path, None if with_corpus else self.corpus, self.engine)
+        remove(spark, f"{path}/staged")
+        return Index.load(spark, path, None if with_corpus else self.corpus if not own else corpus, self.engine)
 
     @staticmethod
     def load(spark: SparkSession, path: str, corpus: Corpus | None = None, engine: Engine = EXACT) -> Index:
@@ -207,7 +313,10 @@ class Index:
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         if corpus is None and not facts["normed"]:
             raise ValueError("this snapshot has no corpus; give one")
-        read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "vocab")}
-        own = corpus or Corpus(spark.read.parquet(f"{path}/corpus"), facts["added"], facts["removed"])
+        # With their schemas, as a table that is partitioned and empty has no file that would tell it.
+        rows, postings = (spark.read.schema(StructType.fromJson(facts[name])).parquet(f"{path}/{name}") for name in ("documents", "postings"))
+        own = corpus if corpus is not None else Corpus(spark.read.parquet(f"{path}/corpus"), facts["added"], facts["removed"])
+        vocab = spark.read.parquet(f"{path}/corpus").select("term") if facts["own_vocab"] else spark.read.parquet(f"{path}/vocab")
+        docs = rows.select("key", "doc_len", "n_terms")
         held = (facts["doc_num"], facts["mean_len"])
-        return Index(read["postings"], read["docs"], read["vocab"], own, engine, facts["buckets"], corpus is None, held)
+        return Index(postings, docs, vocab, own, engine, facts["buckets"], facts["normed"] and corpus is None, held, stored=rows, own_vocab=facts["own_vocab"] and corpus is None)
