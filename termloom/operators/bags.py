@@ -17,6 +17,16 @@ def empty(spark: SparkSession, key_type: str = "bigint") -> DataFrame:
     return spark.createDataFrame([], f"key {key_type}, term string, tf bigint")
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """The table as bags, if it has their columns and types; otherwise an error. Rows of one key and term are added up
+    and those without a positive count go, as in bags there are none."""
+    types = dict(rows.dtypes)
+    if "key" not in types or types.get("term") != "string" or types.get("tf") not in ("int", "bigint"):
+        raise ValueError(f"not a table of bags (key, term string, tf bigint): {rows.schema.simpleString()}")
+    known = rows.where(F.col("term").isNotNull() & (F.col("tf") > 0))
+    return known.groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+
+
 def from_terms(rows: DataFrame, key: str, terms: str) -> DataFrame:
     """Bags of rows that hold arrays of terms."""
     each = rows.select(F.col(key).alias("key"), F.explode(terms).alias("term"))
@@ -104,8 +114,10 @@ def term_set(bags: DataFrame) -> DataFrame:
     return bags.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def _listed(bags: DataFrame, terms: Iterable[str] | DataFrame) -> DataFrame:
-    """Few terms as literals, a table of them by a join."""
+def _listed(bags: DataFrame, terms: Iterable[str] | DataFrame | Column) -> DataFrame:
+    """Few terms as literals, a table of them by a join, others by a predicate over term and tf."""
+    if isinstance(terms, Column):
+        return bags.where(terms)
     if isinstance(terms, DataFrame):
         return bags.join(terms.select("term").distinct(), "term", "left_semi")
     return bags.where(F.col("term").isin(list(terms)))
@@ -117,8 +129,8 @@ def remove_terms(bags: DataFrame, terms: Iterable[str] | DataFrame) -> DataFrame
     return bags.where(~F.col("term").isin(list(terms)))
 
 
-def removed_total(bags: DataFrame, terms: Iterable[str] | DataFrame) -> DataFrame:
-    """How many counts ``remove_terms`` takes from each key that it takes any from."""
+def removed_total(bags: DataFrame, terms: Iterable[str] | DataFrame | Column) -> DataFrame:
+    """How many counts ``remove_terms``, or with a predicate ``remove_by``, takes from each key that it takes any from."""
     return _listed(bags, terms).groupBy("key").agg(F.sum("tf").alias("removed"))
 
 

@@ -16,8 +16,6 @@ def counts(hits: DataFrame) -> DataFrame:
     )
 
 
-
-
 def sort_by_score(hits: DataFrame, ascending: bool = False, ties: str = "key") -> DataFrame:
     """Sorted by score, ties by ``ties``; NaN scores go."""
     score = F.asc("score") if ascending else F.desc("score")
@@ -39,7 +37,8 @@ def sort_by_title(hits: DataFrame, part: str) -> DataFrame:
     return hits.where(~F.isnan("score")).orderBy(F.desc(F.contains(F.col("key").cast("string"), F.lit(part))), F.desc("score"), "key")
 
 
-def display(hits: DataFrame) -> DataFrame:
-    """One line of text per hit."""
+def display(hits: DataFrame, digits: int = 6) -> DataFrame:
+    """One line of text per hit, scores with so many digits after the point."""
     key = F.regexp_replace(F.col("key").cast("string"), r'(["\\])', r"\\$1")
-    return hits.select(F.format_string('score: %.6f\tdoc_len: %d\tkey: "%s"', F.col("score"), F.col("doc_len"), key).alias("line"))
+    line = F.format_string(f'score: %.{int(digits)}f\tdoc_len: %d\tkey: "%s"', F.col("score"), F.col("doc_len"), key)
+    return hits.select(line.alias("line"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.weights import F16, U16
+from termloom.functions.weights import F16, U16, U32
 from termloom.operators import bags
-from termloom.queries.base import INDEX_SQL, Query, benchmark_bags, index_of, keys_of, named, table, tokens_sql, turn_bags
+from termloom.queries.base import HALF_SQL, INDEX_SQL, Query, benchmark_bags, index_of, keys_of, named, table, tokens_sql, turn_bags
+from termloom.sources.workspace import new_path
 
 STOP = ["the", "of", "and", "der", "die", "de", "la"]
 STOP_SQL = "(" + ", ".join(f"'{t}'" for t in STOP) + ")"
@@ -42,6 +43,15 @@ def tf_coded(engine, decode: bool) -> Query:  # noqa: ANN001
     return query
 
 
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags written as Parquet, that as JSON, and read again."""
+    path = new_path(spark, "bags")
+    _own(spark, sf_dir).write.parquet(f"{path}/parquet")
+    own = spark.read.parquet(f"{path}/parquet")
+    own.write.json(f"{path}/json")
+    return named(bags.checked(spark.read.schema(own.schema).json(f"{path}/json")))
+
+
 def event_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are terms already: event types of each user."""
     return bags.from_rows(table(spark, sf_dir, "events"), "user_id", "event_type")
@@ -74,16 +84,17 @@ QUERIES: dict[str, Query] = {
     "tf_encode_f16": tf_coded(F16, False),
     "tf_decode_f16": lambda s, d: named(index_of(s, d).with_engine(F16).decoded_all()),
     "tf_encode_u16": tf_coded(U16, False),
+    "tf_encode_u32": tf_coded(U32, False),
+    "tf_remove_by_total": lambda s, d: named(bags.removed_total(_own(s, d), (F.col("tf") < 2) | (F.length("term") > 12))),
+    "tf_roundtrip": round_trip,
+    "tf_empty": lambda s, d: named(bags.add(_own(s, d), bags.empty(s))),
 }
 
 _P = INDEX_SQL
 _BENCH = _P + ", " + tokens_sql("benchmark", "item_id", "bench")
 _TURNS = _P + ", " + tokens_sql("conversations", "conv_id", "turns")
-_HALF = """, halves AS (
-  SELECT key, term, CAST(CAST(sqrt(CAST(tf AS FLOAT)) AS FLOAT) AS DOUBLE) AS x FROM post
-), half AS (
-  SELECT key, term, round_even(x / pow(2.0, floor(log2(x)) - 10), 0) * pow(2.0, floor(log2(x)) - 10) AS h FROM halves
-)"""
+#: Terms of a text for which a test holds, counted without a join.
+_COUNT = "len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: {test}))"
 
 ORACLES: dict[str, str] = {
     "tf_postings": _P + " SELECT key AS doc_id, term, tf FROM post",
@@ -104,9 +115,7 @@ FROM (SELECT * FROM post UNION ALL SELECT * FROM turns) GROUP BY key, term""",
     "tf_vector": _P
     + """ SELECT key AS doc_id, string_agg(term, ' ' ORDER BY term) AS terms,
   string_agg(CAST(tf AS VARCHAR), ' ' ORDER BY term) AS tfs, CAST(sum(tf) AS BIGINT) AS doc_len FROM post GROUP BY key""",
-    "tf_lookup": _P
-    + """ SELECT docs.key AS doc_id, CAST(coalesce(tf, 0) AS BIGINT) AS tf
-FROM docs LEFT JOIN post ON docs.key = post.key AND term = 'the'""",
+    "tf_lookup": f"SELECT doc_id, CAST({_COUNT.format(test="t = 'the'")} AS BIGINT) AS tf FROM documents",
     "tf_most_frequent": _P
     + """ SELECT key AS doc_id, term, tf FROM (SELECT *, max(tf) OVER (PARTITION BY key) AS top FROM post) WHERE tf = top""",
     "tf_max_count": _P + " SELECT key AS doc_id, max(tf) AS max_tf FROM post GROUP BY key",
@@ -120,11 +129,14 @@ FROM docs LEFT JOIN post ON docs.key = post.key AND term = 'the'""",
     "tf_sorted_dict": _P
     + """ SELECT key AS doc_id, term, tf, CAST(row_number() OVER (PARTITION BY key ORDER BY term) AS INTEGER) AS place FROM post""",
     "tf_unique_ratio": _P + " SELECT key AS doc_id, round(n_terms / doc_len, 6) AS unique_ratio FROM docs WHERE doc_len > 0",
-    "tf_probability": _P + " SELECT key AS doc_id, term, round(tf / doc_len, 6) AS probability FROM post JOIN docs USING (key)",
-    "tf_probability_term": _P
-    + """ SELECT docs.key AS doc_id, round(coalesce(tf / doc_len, 0), 6) AS probability
-FROM docs LEFT JOIN post ON docs.key = post.key AND term = 'the'""",
-    "tf_encode_f16": _P + _HALF + " SELECT key AS doc_id, term, h AS value FROM half",
-    "tf_decode_f16": _P + _HALF + " SELECT key AS doc_id, term, CAST(floor(h * h) AS BIGINT) AS tf FROM half WHERE floor(h * h) > 0",
+    "tf_probability": _P + " SELECT key AS doc_id, term, round(tf / sum(tf) OVER (PARTITION BY key), 6) AS probability FROM post",
+    "tf_probability_term": f"""SELECT doc_id, round(coalesce({_COUNT.format(test="t = 'the'")} / nullif({_COUNT.format(test="t <> ''")}, 0), 0), 6) AS probability
+FROM documents""",
+    "tf_encode_f16": _P + HALF_SQL + " SELECT key AS doc_id, term, h AS value FROM half",
+    "tf_decode_f16": _P + HALF_SQL + " SELECT key AS doc_id, term, CAST(floor(h * h) AS BIGINT) AS tf FROM half WHERE floor(h * h) > 0",
+    "tf_encode_u32": _P + " SELECT key AS doc_id, term, CAST(tf % 4294967296 AS BIGINT) AS value FROM post",
+    "tf_remove_by_total": _P + " SELECT key AS doc_id, CAST(sum(tf) AS BIGINT) AS removed FROM post WHERE tf < 2 OR length(term) > 12 GROUP BY key",
+    "tf_roundtrip": _P + " SELECT key AS doc_id, term, tf FROM post",
+    "tf_empty": _P + " SELECT key AS doc_id, term, tf FROM post",
     "tf_encode_u16": _P + " SELECT key AS doc_id, term, CAST(tf % 65536 AS BIGINT) AS value FROM post",
 }

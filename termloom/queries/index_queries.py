@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.weights import EXACT
+from termloom.functions.weights import EXACT, F16
 from termloom.operators import bags
 from termloom.operators.corpus import Corpus
-from termloom.operators.search import BM25, Cosine, search
+from termloom.operators.search import BM25, Cosine, Dot, search
 from termloom.plans.query import any_of
-from termloom.queries.base import INDEX_SQL, Query, index_of, keys_of, named, table, tokens_sql, turn_bags
+from termloom.queries.base import HALF_SQL, INDEX_SQL, Query, index_of, keys_of, named, table, tokens_sql, turn_bags
 from termloom.sources.index import Index
+from termloom.sources.segments import Segments
 from termloom.sources.workspace import new_path
 
 ASKED = ["the", "of", "und", "zzzz"]
@@ -54,6 +55,23 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(search(Index.load(spark, path, index.corpus, EXACT), BM25(), PAIR))
 
 
+def segmented(spark: SparkSession, sf_dir: str) -> Segments:
+    """A stored index changed three times: all documents, benchmark items by their ids, and toxic documents deleted."""
+    held = Segments.open(spark, new_path(spark, "segments")).merge(index_of(spark, sf_dir))
+    return held.upsert(table(spark, sf_dir, "benchmark"), "item_id", "text").delete(toxic_keys(spark, sf_dir))
+
+
+def unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items put in, scored by the weights from before."""
+    index = index_of(spark, sf_dir).freeze(new_path(spark, "weights"))
+    index = index.upsert(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = search(index, Dot(), PAIR, check=False)
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"), "doc_len")
+
+
+ONE = 42
+
+
 def _terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t,) for t in ASKED], "term string")
 
@@ -80,6 +98,14 @@ QUERIES: dict[str, Query] = {
     "index_doc_num": lambda s, d: keys_of(without_toxic(s, d)).agg(F.count(F.lit(1)).alias("doc_num")),
     "search_swapped_corpus": swapped_corpus,
     "snapshot_roundtrip": snapshot_roundtrip,
+    "index_get_tf": lambda s, d: named(index_of(s, d).tf(ONE)),
+    "index_get_tf_f16": lambda s, d: named(index_of(s, d).with_engine(F16).decoded(ONE)),
+    "index_segments": lambda s, d: named(segmented(s, d).index().bags),
+    "index_segments_idf": lambda s, d: segmented(s, d).index().idf(),
+    "index_segments_bm25": lambda s, d: named(search(segmented(s, d).index(), BM25(), PAIR)),
+    "index_compacted": lambda s, d: segmented(s, d).compact().index().forward.select(F.col("key").alias("doc_id"), "doc_len", "n_terms", F.round("norm", 4).alias("norm")),
+    "corpus_empty": lambda s, d: Corpus.empty(s).merge(index_of(s, d).corpus).terms,
+    "search_unchecked": unchecked,
 }
 
 _P = INDEX_SQL
@@ -114,6 +140,24 @@ SELECT key AS doc_id, round(sum(tf * w * w) / (any_value(q.norm) * any_value(len
 FROM post JOIN own USING (term) JOIN docs USING (key) JOIN lengths USING (key), q WHERE term IN ('the', 'and') GROUP BY key"""
 )
 
+#: Documents, then benchmark items in place of those of the same ids, then without toxic ones; all statistics anew.
+_CHANGED = (
+    _BENCH
+    + f""", merged AS (
+  SELECT * FROM post WHERE key NOT IN (SELECT item_id FROM benchmark) AND key NOT IN {_TOXIC}
+  UNION ALL SELECT * FROM bench WHERE key NOT IN {_TOXIC}
+), held AS (
+  SELECT key, CAST(coalesce(sum(tf), 0) AS BIGINT) AS doc_len, CAST(count(term) AS BIGINT) AS n_terms
+  FROM (SELECT doc_id AS key FROM documents UNION SELECT item_id FROM benchmark) LEFT JOIN merged USING (key)
+  WHERE key NOT IN {_TOXIC} GROUP BY key
+), totals AS (SELECT count(*) FILTER (WHERE n_terms > 0) AS n, avg(doc_len) AS mean_len FROM held
+), dfs AS (SELECT term, count(*) AS df FROM merged GROUP BY term
+), weights AS (
+  SELECT term, CAST(coalesce(df, 0) AS BIGINT) AS df, CAST(n / (coalesce(df, 0) + 1.0::DOUBLE) AS FLOAT) AS idf
+  FROM (SELECT term FROM post UNION SELECT term FROM bench) LEFT JOIN dfs USING (term), totals
+)"""
+)
+
 ORACLES: dict[str, str] = {
     "corpus_df": _P + " SELECT term, df FROM corpus",
     "corpus_meta": _P
@@ -152,4 +196,20 @@ FROM conversations LEFT JOIN turns ON key = -1 - conv_id * 1000 - turn GROUP BY
     "index_contains_all": _TURNS + " SELECT key AS conv_id, bool_and(term IN (SELECT term FROM corpus)) AS has FROM turns GROUP BY key",
     "index_doc_num": f"SELECT CAST(count(*) AS BIGINT) AS doc_num FROM documents WHERE doc_id NOT IN {_TOXIC}",
     "search_swapped_corpus": _SWAPPED,
+    "index_get_tf": _P + f" SELECT key AS doc_id, term, tf FROM post WHERE key = {ONE}",
+    "index_get_tf_f16": _P + HALF_SQL + f" SELECT key AS doc_id, term, CAST(floor(h * h) AS BIGINT) AS tf FROM half WHERE floor(h * h) > 0 AND key = {ONE}",
+    "index_segments": _CHANGED + " SELECT key AS doc_id, term, tf FROM merged",
+    "index_segments_idf": _CHANGED + " SELECT term, df, idf FROM weights",
+    "index_segments_bm25": _CHANGED
+    + """ SELECT key AS doc_id, round(sum(CAST(CAST(ln(CAST(idf AS DOUBLE)) AS FLOAT) AS DOUBLE) * (tf * 2.2::DOUBLE)
+  / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (doc_len / mean_len)))), 6) AS score, any_value(doc_len) AS doc_len
+FROM merged JOIN weights USING (term) JOIN held USING (key), totals WHERE term IN ('the', 'and') GROUP BY key""",
+    "index_compacted": _CHANGED
+    + """ SELECT key AS doc_id, doc_len, n_terms, round(coalesce(norm, 0), 4) AS norm FROM held LEFT JOIN (
+  SELECT key, sqrt(sum(pow(tf * CAST(idf AS DOUBLE), 2))) AS norm FROM merged JOIN weights USING (term) GROUP BY key) USING (key)""",
+    "corpus_empty": _P + " SELECT term, df FROM corpus",
+    "search_unchecked": _UPSERTED
+    + """, lens AS (SELECT key, CAST(sum(tf) AS BIGINT) AS doc_len FROM merged GROUP BY key)
+SELECT key AS doc_id, round(sum(tf * CAST(coalesce(idf, 0) AS DOUBLE) * CAST(coalesce(idf, 0) AS DOUBLE)), 4) AS score, any_value(doc_len) AS doc_len
+FROM merged LEFT JOIN idf USING (term) JOIN lens USING (key) WHERE term IN ('the', 'and') GROUP BY key""",
 }

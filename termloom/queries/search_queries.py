@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.weights import F16, LogEngine
 from termloom.operators import hits
-from termloom.operators.search import BM25, Algorithm, Contains, Cosine, Dot, batch_dot, search, similarity
+from termloom.operators.batch import batch_search
+from termloom.operators.search import BM25, Algorithm, Contains, Cosine, Dot, search, similarity
 from termloom.plans.query import Everything, Nothing, Term, all_of, any_of, parse
 from termloom.plans.query import Query as Tree
 from termloom.queries.base import INDEX_SQL, Query, benchmark_bags, index_of, named, tokens_sql
@@ -60,14 +61,20 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.sort_by_title(found, "src1").withColumnRenamed("key", "title")
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every benchmark passage, the ten documents with the highest dot product."""
-    index = index_of(spark, sf_dir)
-    queries = benchmark_bags(spark, sf_dir).select(F.col("key").alias("query"), "term", F.col("tf").alias("q"))
-    found = batch_dot(index, queries).withColumn("score", F.round("score", 2))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    found = found.withColumn("place", F.row_number().over(best)).where("place <= 10")
-    return found.select("query", F.col("key").alias("doc_id"), "score", "place")
+def batch(algorithm: Dot | Cosine | BM25, digits: int) -> Query:
+    """For every benchmark passage, the ten best documents."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        queries = benchmark_bags(spark, sf_dir).select(F.col("key").alias("query"), "term", F.col("tf").alias("q"))
+        found = batch_search(index_of(spark, sf_dir), algorithm, queries, 10, digits)
+        return found.select("query", F.col("key").alias("doc_id"), "score", "place")
+
+    return query
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a tree, those under a negation too, as often as they stand there."""
+    return spark.createDataFrame([(t,) for t in (MIXED & (THE | ~EDEN)).leaves()], "term string").groupBy("term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def custom_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +109,17 @@ QUERIES: dict[str, Query] = {
     "similarity_cosine": like_bag(Cosine()),
     "similarity_bm25": like_bag(BM25()),
     "similarity_filtered": like_bag(Cosine(), ~IS),
-    "similarity_batch": batch,
+    "similarity_batch": batch(Dot(), 2),
+    "similarity_batch_cosine": batch(Cosine(), 6),
+    "similarity_batch_bm25": batch(BM25(), 6),
+    "query_leaves": leaves,
     "hits_counts": lambda s, d: hits.counts(search(index_of(s, d), Cosine(), ~THE | EDEN)),
     "hits_sort_asc": lambda s, d: placed(hits.sort_by_score(rounded_bm25(s, d), ascending=True)),
     "hits_sort_desc": lambda s, d: placed(hits.sort_by_score(rounded_bm25(s, d))),
     "hits_sort_by": lambda s, d: placed(hits.sort_by(rounded_bm25(s, d), F.desc("doc_len"), "key")),
     "hits_title_sort": titled,
     "hits_display": lambda s, d: hits.display(hits.sort_by_score(rounded_bm25(s, d))),
+    "hits_display_short": lambda s, d: hits.display(hits.sort_by_score(rounded_bm25(s, d)), digits=2),
     "topk_bm25": lambda s, d: placed(hits.top_k(hits.sort_by_score(rounded_bm25(s, d)), 10)),
 }
 
@@ -148,6 +159,19 @@ scored AS (
 SELECT key AS doc_id, round({score}, {digits}) AS score, doc_len FROM scored"""
 
 
+def _batch(score: str, digits: int) -> str:
+    return f"""{_P}, {tokens_sql("benchmark", "item_id", "bench")}, lengths AS (
+  SELECT key, sqrt(sum(pow(tf * CAST(idf AS DOUBLE), 2))) AS qn FROM bench JOIN idf USING (term) GROUP BY key
+), scores AS (
+  SELECT bench.key AS query, post.key AS doc_id, round({score}, {digits}) AS score
+  FROM bench JOIN post USING (term) JOIN idf USING (term) JOIN norms ON norms.key = post.key JOIN docs ON docs.key = post.key
+    JOIN lengths ON lengths.key = bench.key, facts
+  GROUP BY bench.key, post.key
+)
+SELECT query, doc_id, score, CAST(place AS INTEGER) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM scores) WHERE place <= 10"""
+
+
 _PAIR = {"the": 1, "eden": 1}
 _EITHER = "has_the OR has_eden"
 _BM25 = _ranked("bm25", _EITHER, _PAIR)
@@ -178,12 +202,14 @@ FROM post JOIN idf USING (term) JOIN bag USING (term) JOIN docs USING (key) GROU
     "similarity_cosine": _ranked("cosine", f"{_EITHER} OR has_zzzz", _IN_BAG),
     "similarity_bm25": _ranked("bm25", f"{_EITHER} OR has_zzzz", _IN_BAG),
     "similarity_filtered": _ranked("cosine", "NOT has_is", _IN_BAG, 6, ["is"]),
-    "similarity_batch": f"""{_P}, {tokens_sql("benchmark", "item_id", "bench")}, dots AS (
-  SELECT bench.key AS query, post.key AS doc_id, round(sum(bench.tf * post.tf * CAST(idf AS DOUBLE) * CAST(idf AS DOUBLE)), 2) AS score
-  FROM bench JOIN post USING (term) JOIN idf USING (term) GROUP BY bench.key, post.key
-)
-SELECT query, doc_id, score, CAST(place AS INTEGER) AS place
-FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM dots) WHERE place <= 10""",
+    "similarity_batch": _batch("sum(bench.tf * post.tf * CAST(idf AS DOUBLE) * CAST(idf AS DOUBLE))", 2),
+    "similarity_batch_cosine": _batch(
+        "sum(bench.tf * post.tf * CAST(idf AS DOUBLE) * CAST(idf AS DOUBLE)) / (any_value(qn) * any_value(norm) + 2.220446049250313e-16)", 6
+    ),
+    "similarity_batch_bm25": _batch(
+        "sum(CAST(CAST(ln(CAST(idf AS DOUBLE)) AS FLOAT) AS DOUBLE) * (post.tf * 2.2::DOUBLE) / (post.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (doc_len / mean_len))))", 6
+    ),
+    "query_leaves": "SELECT term, CAST(times AS BIGINT) AS times FROM (VALUES ('the', 2), ('eden', 2), ('is', 1)) leaves(term, times)",
     "hits_counts": f"""SELECT CAST(count(*) FILTER (WHERE score <> 0) AS BIGINT) AS non_zero, CAST(count(*) FILTER (WHERE score = 0) AS BIGINT) AS zero,
   CAST(0 AS BIGINT) AS nan FROM ({_ranked("cosine", "NOT has_the OR has_eden", _PAIR, 12)})""",
     "hits_sort_asc": _BM25,
@@ -191,6 +217,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_i
     "hits_sort_by": _BM25,
     "hits_title_sort": f"""SELECT source || '/' || h.doc_id AS title, score, doc_len FROM ({_BM25}) h JOIN documents USING (doc_id)""",
     "hits_display": f"""SELECT printf('score: %.6f', score) || chr(9) || 'doc_len: ' || doc_len || chr(9) || 'key: "' || doc_id || '"' AS line FROM ({_BM25})""",
+    "hits_display_short": f"""SELECT printf('score: %.2f', score) || chr(9) || 'doc_len: ' || doc_len || chr(9) || 'key: "' || doc_id || '"' AS line FROM ({_BM25})""",
     "topk_bm25": f"SELECT * FROM ({_BM25}) ORDER BY score DESC, doc_id LIMIT 10",
     "snapshot_roundtrip": _ranked("bm25", "has_the OR has_and", {"the": 1, "and": 1}),
 }

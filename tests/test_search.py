@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from termloom.functions.text import tokens
 from termloom.functions.weights import EXACT, F16, U16, U32, plain_idf
 from termloom.operators import hits
+from termloom.operators.batch import batch_search
 from termloom.operators.corpus import Corpus
 from termloom.operators.search import BM25, Contains, Cosine, Dot, batch_dot, search, similarity
 from termloom.plans.query import And, Everything, Not, Nothing, Or, Term, all_of, any_of, parse
 from termloom.sources.index import Index
+from termloom.sources.segments import Segments
 
 DOCS = {
     "doc1": ["rust", "高速", "並列", "rust"],
@@ -175,11 +177,150 @@ def test_batch_is_single_searches(spark, small):
     assert got == pytest.approx(want)
 
 
+@pytest.fixture(scope="module")
+def four(spark, small, tmp_path_factory):
+    return small.merge(index_of(spark, "doc1", "doc4")).save(str(tmp_path_factory.mktemp("four") / "index"), buckets=2)
+
+
+BATCH_BAGS = {1: {"rust": 2, "安全": 1}, 2: {"高速": 1, "並列": 3}, 3: {"none": 1}, 4: {"柔軟": 1, "rust": 1}}
+
+
+@pytest.mark.parametrize("algorithm", [Dot(), Cosine(), BM25(k1=0.5, b=0.2)])
+@pytest.mark.parametrize("engine", [EXACT, F16])
+def test_batch_search_is_single_searches(spark, four, monkeypatch, algorithm, engine):
+    from termloom.operators import batch
+
+    monkeypatch.setattr(batch, "BLOCK_TERMS", 3)
+    monkeypatch.setattr(batch, "CELLS", 4)
+    index = four.with_engine(engine)
+    queries = spark.createDataFrame([(i, t, q) for i, bag in BATCH_BAGS.items() for t, q in bag.items()], "query int, term string, q long")
+    for k in (2, 10):
+        got = {}
+        for r in batch_search(index, algorithm, queries, k, digits=9).collect():
+            got.setdefault(r.query, []).append((r.place, r.key, pytest.approx(r.score, abs=1e-8), r.doc_len))
+        for number, bag in BATCH_BAGS.items():
+            hits_of = [(-round(r.score, 9), r.key, r.doc_len) for r in similarity(index, algorithm, bag).collect()]
+            want = [(i + 1, key, -score, n) for i, (score, key, n) in enumerate(sorted(hits_of)[:k])]
+            assert sorted(got.get(number, []), key=lambda r: r[0]) == want
+
+
+def test_batch_search_of_a_stored_index(spark, small, tmp_path):
+    stored = small.merge(index_of(spark, "doc4")).save(str(tmp_path / "batch"), buckets=3)
+    queries = spark.createDataFrame([("q", "rust", 1), ("q", "高速", 1)], "query string, term string, q long")
+    got = {r.key: r.score for r in batch_search(stored, Cosine(), queries, 5).collect()}
+    assert got == pytest.approx(found(similarity(stored, Cosine(), {"rust": 1, "高速": 1})))
+    assert batch_search(stored, Dot(), queries.limit(0), 5).collect() == []
+
+
 def test_display(spark):
     frame = spark.createDataFrame([('a"b\\c', 0.1234567, 7)], "key string, score double, doc_len long")
+    assert hits.display(frame, digits=2).first().line.startswith("score: 0.12\t")
     assert hits.display(frame).first().line == 'score: 0.123457\tdoc_len: 7\tkey: "a\\"b\\\\c"'
 
 
+def test_unchecked_search_keeps_old_weights(spark, small, tmp_path):
+    frozen = small.freeze(str(tmp_path / "weights"))
+    before = found(search(frozen, Dot(), Term("rust")))
+    grown = frozen.merge(index_of(spark, "doc4"))
+    old, new = found(search(grown, Dot(), Term("rust"), check=False)), found(search(grown, Dot(), Term("rust")))
+    assert {k: old[k] for k in before} == pytest.approx(before) and old["doc4"] == pytest.approx((2 / 3) ** 2)
+    assert new != pytest.approx(old)
+    assert found(search(grown, Dot(), Term("抽象"), check=False)) == {"doc4": 0.0}  # has come since
+    assert found(search(grown, BM25(), Term("抽象"), check=False)) == {"doc4": 0.0}
+    want = sum((2 / 3) ** 2 for _ in "x")
+    lengths = math.sqrt(want) * math.sqrt(want + 2 * 1.0 + 0.0)
+    assert found(search(grown, Cosine(), Term("rust"), check=False))["doc4"] == pytest.approx(want / lengths, abs=1e-6)
+    assert found(search(small, Dot(), Term("rust"), check=False)) == found(search(small, Dot(), Term("rust")))  # never frozen
+
+
+def test_the_last_row_of_a_key_counts(spark):
+    rows = spark.createDataFrame([("a", "x", 2), ("a", "z z", 1), ("b", "q", 1), ("b", None, 3)], "key string, text string, at int")
+    index = Index.build(rows, "key", "text", order="at")
+    assert {(r.key, r.term) for r in index.bags.collect()} == {("a", "x")} and index.doc_num == 2
+    again = index.upsert(spark.createDataFrame([("a", "m", 5), ("a", "k", 9)], "key string, text string, at int"), "key", "text", order="at")
+    assert {(r.key, r.term) for r in again.bags.collect()} == {("a", "k")}
+
+
+def test_one_document(spark, small, tmp_path):
+    stored = small.save(str(tmp_path / "one"), buckets=4)
+    for index in (small, stored):
+        assert {r.term: r.tf for r in index.tf("doc2").collect()} == {"rust": 2, "柔軟": 1, "安全": 1}
+        assert index.tf("never").collect() == []
+    assert {r.term: r.tf for r in stored.with_engine(F16).decoded("doc2").collect()} == {"rust": 1, "柔軟": 1, "安全": 1}
+    plan = stored.tf("doc2")._jdf.queryExecution().executedPlan().toString()
+    assert "key_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_term_that_all_have_is_dealt_to_many_files(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.array(F.lit("all"), F.concat(F.lit("own"), F.col("id").cast("string"))).alias("terms"))
+    index = Index.build(rows, "key", terms="terms", unique=True).save(str(tmp_path / "sliced"), buckets=4, slice_rows=100)
+    files = index.postings.where("term = 'all'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 2000 and max(r["count"] for r in files) <= 800 and len(files) >= 5
+    assert all(r.score == pytest.approx((2000 / 2001) ** 2) for r in search(index, Dot(), Term("all")).collect())
+    empty = Index.build(rows.limit(0), "key", terms="terms").save(str(tmp_path / "empty"))
+    assert empty.doc_num == 0 and search(empty, BM25(), Term("all")).collect() == [] and empty.buckets == 16
+
+
+# A stored index in segments
+
+
+def same_index(one, current, vocab):
+    """An index, and one built at once of the same documents."""
+    rows = one.docs.sparkSession.createDataFrame(list(current.items()), "key long, text string")
+    other = Index.build(rows, "key", "text")
+    assert sorted(one.bags.collect()) == sorted(other.bags.collect())
+    assert sorted(one.docs.collect()) == sorted(other.docs.collect())
+    assert sorted(one.corpus.terms.collect()) == sorted(other.corpus.terms.collect())
+    assert one.corpus.doc_num == other.corpus.doc_num and one.mean_len == pytest.approx(other.mean_len)
+    assert {r.term for r in one.vocab.collect()} == vocab
+    for algorithm in (Cosine(), BM25()):
+        query = Term("x") | ~Term("y")
+        assert found(search(one, algorithm, query)) == pytest.approx(found(search(other, algorithm, query)))
+
+
+def test_segments_are_the_index_of_what_is_current(spark, tmp_path):
+    root = str(tmp_path / "segments")
+    batches = [{1: "x y y", 2: "x", 3: ""}, {2: "z z", 4: "x w", 9: None}, {1: None, 3: "y"}, {1: "new", 2: "x y z"}]
+    held, current, vocab = Segments.open(spark, root, buckets=2), {}, set()
+    with pytest.raises(ValueError):
+        held.index()
+    for batch in batches:
+        rows = spark.createDataFrame(list(batch.items()), "key long, text string")
+        held = held.apply(rows, "key", "text")
+        current = {k: t for k, t in (current | batch).items() if t is not None}
+        vocab |= {t for text in batch.values() for t in (text or "").split()}
+    same_index(Segments.open(spark, root).index(), current, vocab)
+    assert (held.added, held.removed, held.doc_num) == (7, 3, 4)  # documents with terms that came and went
+    assert held.apply(rows, "key", "text", number=2) is held  # done before
+    assert {r.term: r.tf for r in held.index().tf(2).collect()} == {"x": 1, "y": 1, "z": 1}
+    packed = held.compact()
+    packed.vacuum()
+    again = Segments.open(spark, root)
+    assert len(again.parts) == 1 and again.index().normed
+    same_index(again.index(), current, vocab)
+    later = again.delete(spark.createDataFrame([(1,), (77,)], "key long"))
+    del current[1]
+    same_index(later.index(), current, vocab)
+    assert (later.compact().index().corpus.added, later.doc_num) == (7, 3)
+
+
+def test_a_change_that_failed_leaves_the_state(spark, tmp_path):
+    root = str(tmp_path / "failed")
+    held = Segments.open(spark, root, buckets=2).upsert(spark.createDataFrame([(1, "x")], "key long, text string"), "key", "text")
+    spark.createDataFrame([(1,)], "key long").write.parquet(f"{root}/gone/2")  # of a change that never ended
+    assert found(search(Segments.open(spark, root).index(), Dot(), Term("x"))).keys() == {1}
+    assert found(search(held.upsert(spark.createDataFrame([(2, "x")], "key long, text string"), "key", "text").index(), Dot(), Term("x"))).keys() == {1, 2}
+
+
+def test_merging_a_stored_index(spark, tmp_path):
+    held = Segments.open(spark, str(tmp_path / "merged"), buckets=2).merge(index_of(spark, "doc1", "doc2"))
+    held = held.delete(spark.createDataFrame([("doc1",)], "key string")).merge(index_of(spark, "doc3")).merge(index_of(spark, "doc4"))
+    got = found(search(held.index(), Cosine(), Term("rust") & Term("高速")))
+    assert got == {"doc3": pytest.approx(0.724882, abs=1e-6), "doc4": pytest.approx(0.569803, abs=1e-6)}
+    got = found(search(Segments.open(spark, held.root, engine=F16).compact().index(), Cosine(), Term("rust") & Term("高速")))
+    assert got == {"doc3": pytest.approx(0.640184, abs=1e-6), "doc4": pytest.approx(0.569803, abs=1e-6)}
+
+
 # Queries as trees
 
 TREES = st.recursive(
