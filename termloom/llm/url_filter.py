@@ -101,7 +101,7 @@ def url_filter(
     rule = F.concat("key_host", "key_path")
     order = F.struct(F.length(rule), F.length("key_host"))
     decided = fits.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), order).alias("best"))
-    decided = write_shared(decided, "url-decided")
+    decided = write_shared(decided, "url-decided").hint("merge")  # it grows with the pages: never to be broadcast
     return urls.join(decided, ["host", "path"], "left").select(
         "page_id",
         "host",
