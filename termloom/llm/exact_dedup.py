@@ -98,15 +98,17 @@ def route(keyed: DataFrame, depth: int, slots: list[int], deeper: dict[int, int]
     return routed.withColumn("bucket", F.col("bucket") + part * F.lit(1 << depth)).drop("slot", "bits")
 
 
-def fill_buckets(routed: DataFrame) -> DataFrame:
-    """The index: bucket, key, chain, sha, keep_id, group_size of each different text of a bucket."""
+def fill_buckets(routed: DataFrame, owners: int = 1) -> DataFrame:
+    """The index: bucket, key, chain, sha, keep_id, group_size of each different text of a bucket. Buckets go to
+    ``owners`` tasks in turn."""
     parts = routed.withColumn("part", F.spark_partition_id() % PARTS).groupBy("bucket", "key", "norm", "part")
     parts = parts.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # Dealt by bucket alone: the two steps below need no other shuffle, and see whole buckets.
-    owned = parts.drop("part").repartition("bucket").groupBy("bucket", "key", "norm")
+    # Dealt by owner alone: the two steps below need no other shuffle, and see whole buckets.
+    owned = parts.drop("part").withColumn("owner", F.pmod("bucket", F.lit(owners)).cast("int"))
+    owned = owned.repartitionById(owners, "owner").groupBy("owner", "bucket", "key", "norm")
     owned = owned.agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    chained = Window.partitionBy("bucket", "key").orderBy("sha")
-    owned = owned.select("bucket", "key", _sha().alias("sha"), "keep_id", "group_size")
+    chained = Window.partitionBy("owner", "bucket", "key").orderBy("sha")
+    owned = owned.select("owner", "bucket", "key", _sha().alias("sha"), "keep_id", "group_size")
     return owned.select("bucket", "key", (F.row_number().over(chained) - 1).alias("chain"), "sha", "keep_id", "group_size")
 
 
@@ -142,8 +144,12 @@ def exact_dedup(
     counts = {row[0]: row[1] for row in keys.groupBy(_slot(max_depth).alias("slot")).count().collect()}
     depth, slots, _ = build_directory(counts, bucket_capacity, max_depth)
     overfull = sorted(slot for slot, n in counts.items() if n > bucket_capacity)
-    routed = route(keyed, depth, slots, deepen(keys, max_depth, overfull, bucket_capacity) if overfull else None)
-    looked_up = look_up(routed, write_shared(fill_buckets(routed), "dedup-index"))
+    deeper = deepen(keys, max_depth, overfull, bucket_capacity) if overfull else {}
+    routed = route(keyed, depth, slots, deeper)
+    # A task owns one bucket, or where there are more buckets than the session has shuffle partitions, several.
+    buckets = len(set(slots)) + sum((1 << bits) - 1 for bits in deeper.values())
+    owners = min(buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    looked_up = look_up(routed, write_shared(fill_buckets(routed, owners), "dedup-index"))
     return looked_up.select(
         "doc_id",
         "keep_id",
