@@ -13,12 +13,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import text_or_empty, write_shared
@@ -48,24 +48,33 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big")
 
 
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Splitting tree: an array (shards, sources) of block numbers whose columns sum to ``quotas`` and whose rows
-    are as even as the total allows."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def shares(quotas: list[int], shards: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Splitting tree: for each shard in turn, the sources that it gets blocks of, and how many. Over all shards a
+    source's blocks sum to its quota, and shards are as even as the total allows. A node of the tree holds only the
+    sources that have blocks there, so that all of it is bounded by the number of blocks."""
 
-    def split(first: int, last: int, left: np.ndarray) -> None:
+    def split(first: int, last: int, sources: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if last - first == 1:
-            out[first] = left
+            yield first, sources, left
             return
         middle = (first + last) // 2
         total = int(left.sum())
         draw = total * (middle - first) // (last - first)
         rng = np.random.default_rng(_seed("split", seed, first, last))
-        taken = rng.multivariate_hypergeometric(left, draw, method="marginals") if total else left * 0
-        split(first, middle, taken)
-        split(middle, last, left - taken)
+        taken = rng.multivariate_hypergeometric(left, draw, method="marginals") if total else left
+        for a, b, own in ((first, middle, taken), (middle, last, left - taken)):
+            some = own > 0
+            yield from split(a, b, sources[some], own[some])
+
+    own = np.array(quotas, np.int64)
+    yield from split(0, shards, np.flatnonzero(own > 0), own[own > 0])
+
 
-    split(0, shards, np.array(quotas, np.int64))
+def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+    """``shares`` as one array (shards, sources)."""
+    out = np.zeros((shards, len(quotas)), np.int64)
+    for shard, sources, blocks in shares(quotas, shards, seed):
+        out[shard, sources] = blocks
     return out
 
 
@@ -125,8 +134,12 @@ def mix(
     Sources are sorted by code point, null last, and get ``weights`` in turn, repeating. Null text has size 0; a
     document of size 0 is taken as often as its block, at no words. Rows that repeat id and text (or text alone
     where the id is null) share a block and a place in its order; a boundary block takes all of them or none. An
-    empty table gives two empty ones. Reruns with the same ``seed`` take the same documents. The driver holds
-    a row per source, and ``total_blocks`` block sizes.
+    empty table gives two empty ones. Reruns with the same ``seed`` take the same documents. Texts of any length are
+    counted whole.
+
+    The driver holds a row per source, and sizes and places of ``total_blocks`` blocks and one more of each source.
+    These tables are written and joined; Spark broadcasts them only if their size allows. The splitting tree deals to
+    ``total_blocks / 8`` shards at most; where shards of ``words_per_shard`` are more, each is cut further by a hash.
     """
     spark = docs.sparkSession
     key = [
@@ -144,11 +157,14 @@ def mix(
     goal = targets([r["size"] for r in totals], [cycle[i % len(cycle)] for i in range(len(totals))], most)
     all_words = sum(r["size"] for r in totals)
     blocks = [max(1, min(r.docs // block_docs, total_blocks * r["size"] // max(1, all_words))) for r in totals]
-    shards = max(1, min(total_blocks // 8, -(-all_words // words_per_shard)))
+    wanted = max(1, -(-all_words // words_per_shard))
+    shards = min(wanted, max(1, total_blocks // 8))
+    cuts = -(-wanted // shards)
 
     # One row per source.
     catalogue = [(r.source, i, r["size"], goal[i], blocks[i]) for i, r in enumerate(totals)]
-    catalogue = F.broadcast(spark.createDataFrame(catalogue, "source_name string, source_no int, source_size long, target double, blocks int"))
+    catalogue = spark.createDataFrame(catalogue, "source_name string, source_no int, source_size long, target double, blocks int")
+    catalogue = write_shared(catalogue, "mix-sources")
 
     def in_blocks(rows: DataFrame) -> DataFrame:
         known = rows.join(catalogue, rows["source"].eqNullSafe(catalogue["source_name"]))
@@ -163,27 +179,30 @@ def mix(
     # The boundary block of each source gives one row: documents up to a place in the hashed order, but for a few
     # exchanged so that the sum fits. A block holds about block_docs documents, or a total_blocks-th of the corpus.
     edge = [(i, d.order[d.whole], d.rest) for i, d in enumerate(draws) if d.rest > 0]
-    edges = spark.createDataFrame(edge, "source_no int, block int, rest double")
-    fitted = known.join(F.broadcast(edges), ["source_no", "block"]).select("source_no", "draw", "size", "rest")
+    edges = write_shared(spark.createDataFrame(edge, "source_no int, block int, rest double"), "mix-edges")
+    fitted = known.join(edges, ["source_no", "block"]).select("source_no", "draw", "size", "rest")
     fits = {r.source_no: r for r in fitted.groupBy("source_no").applyInPandas(_fit, FITTED).collect()}
     kept = [tuple(fits[i]) if i in fits else (i, None, [], []) for i in range(len(draws))]
-    kept = F.broadcast(spark.createDataFrame(kept, FITTED))
+    kept = write_shared(spark.createDataFrame(kept, FITTED), "mix-fitted")
 
-    shares = split_quotas([d.passes * len(d.order) + d.whole + (d.rest > 0) for d in draws], shards, seed)
-    ends = np.cumsum(shares, axis=0)
+    places: list[list[np.ndarray]] = [[] for _ in draws]
+    for number, sources, taken in shares([d.passes * len(d.order) + d.whole + (d.rest > 0) for d in draws], shards, seed):
+        for i, n in zip(sources.tolist(), taken.tolist(), strict=True):
+            places[i].append(np.full(n, number))
     rows: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
     for i, d in enumerate(draws):
         items = [(n, b, False) for n in range(d.passes) for b in d.order]
         items += [(d.passes, b, False) for b in d.order[: d.whole]]
         items += [(d.passes, d.order[d.whole], True)] if d.rest > 0 else []
         permuted = np.random.default_rng(_seed("items", seed, i)).permutation(len(items))
-        shard = np.searchsorted(ends[:, i], np.arange(len(items)), side="right").tolist()
+        shard = np.concatenate([np.zeros(0, np.int64), *places[i]]).tolist()
         for place, item in enumerate(permuted.tolist()):
             n, block, partly = items[item]
             rows.setdefault((i, block), []).append((n, shard[place], partly))
-    # One row per block that is taken: its size has the same bound, whatever the input.
+    # One row per block that is taken.
     per_block = [(i, block, sorted(taken)) for (i, block), taken in rows.items()]
-    per_block = F.broadcast(spark.createDataFrame(per_block, "source_no int, block int, items array<struct<pass: int, shard: int, partly: boolean>>"))
+    per_block = spark.createDataFrame(per_block, "source_no int, block int, items array<struct<pass: int, shard: int, partly: boolean>>")
+    per_block = write_shared(per_block, "mix-blocks")
 
     def drawn(rows: DataFrame) -> DataFrame:
         placed = in_blocks(rows).join(per_block, ["source_no", "block"], "left").join(kept, "source_no", "left")
@@ -192,10 +211,16 @@ def mix(
         none = F.array().cast("array<struct<pass: int, shard: int, partly: boolean>>")
         return placed.withColumn("fit", fit).withColumn("items", F.coalesce("items", none)).withColumn("items", F.expr("filter(items, i -> not i.partly or fit)"))
 
-    documents = drawn(sizes).select("doc_id", "size", "source_size", "target", (F.size("items") * F.col("size")).alias("taken"), F.col("items.shard").alias("shards"))
+    def cut(item: Column) -> Column:
+        if cuts == 1:
+            return item["shard"]
+        return (item["shard"] * cuts + F.pmod(F.xxhash64("draw", item["pass"], F.lit(3)), F.lit(cuts))).cast("int")
+
+    own = drawn(sizes)
+    documents = own.select("doc_id", "size", "source_size", "target", (F.size("items") * F.col("size")).alias("taken"), F.transform("items", cut).alias("shards"))
     copies = drawn(keyed).select("doc", "draw", F.explode("items").alias("item"))
-    copies = copies.select("doc", F.col("item.shard").alias("shard"), F.xxhash64("draw", "item.pass", F.lit(2)).alias("place"))
-    return Mixer(documents, copies, shards)
+    copies = copies.select("doc", cut(F.col("item")).alias("shard"), F.xxhash64("draw", "item.pass", F.lit(2)).alias("place"))
+    return Mixer(documents, copies, shards * cuts)
 
 
 #: Documents of a boundary block that may differ from those up to one place in the order.
