@@ -11,12 +11,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import table, write_shared
+from termloom.llm.common import last_written, scratch, table, write_shared
 from termloom.llm.line_dedup import line_dedup
 from termloom.llm.mixing import mix, mixed_documents
-from termloom.llm.ngram_join import ngram_join
+from termloom.llm.ngram_join import one_of_each_class
 from termloom.llm.packing import pack
 from termloom.llm.quality import score_quality
+from termloom.sources.workspace import remove
 
 #: SQL can express neither the classifier nor the packing; tests compare the stages with brute force instead.
 ORACLE_SQL = None
@@ -46,9 +47,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id."""
-    stays = ngram_join(docs).where("keeps").select("doc_id").distinct()
-    return docs.join(stays.withColumnRenamed("doc_id", "stays"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    """One document of each class of near-duplicates, the one with the least id. Rows that share an id, or have none,
+    are told apart by their texts; rows that repeat the id and the text that stay are all kept, as are those of a class
+    that has no id at all."""
+    return one_of_each_class(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +73,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another. When a stage's documents are written, the tables that it wrote on its way, and the
+    documents that it was given, are deleted."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(last_written())
+        for path in held:
+            remove(spark, path)
+        held = kept
     return STAGES[-1][1](spark, docs, sf_dir)
