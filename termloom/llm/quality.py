@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termloom.llm.common import crc32_mod, write_shared
 from termloom.llm.words import Words, slices, split_words
@@ -252,12 +253,17 @@ def score_quality(
     model = learn(docs.select(F.col(id_col).alias("doc_id"), text), labels.select("doc_id", "quality"), folds, held_out_fold, sample_docs)
     shared = spark.sparkContext.broadcast(model)
     held_out = F.coalesce(crc32_mod(id_col, folds) == held_out_fold, F.lit(False)).alias("held_out")
-    rows = docs.select(*own, held_out, text)
+    # A text that is in the row already is not sent to Python twice.
+    inside = keep_columns and docs.schema[text_col].dataType == StringType()
+    place = docs.columns.index(text_col)
+    rows = docs.select(*own, held_out) if inside else docs.select(*own, held_out, text)
     out = rows.drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     arrow = to_arrow_schema(out)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if inside:
+                batch = batch.append_column("text", batch.column(0).field(place))
             for part in slices(batch, "text"):
                 score = shared.value.score(runs(part.column("text")))
                 predicted = pa.array((score >= threshold).astype(np.int32))

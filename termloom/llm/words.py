@@ -48,6 +48,7 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = SLICE_BYTES) -> I
     for a, b in zip(starts, starts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker lives on with what it once took
 
 
 def split_words(texts: pa.Array) -> Words:
