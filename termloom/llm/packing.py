@@ -28,7 +28,7 @@ from termloom.llm.best_fit import best_fit_decreasing
 from termloom.llm.common import write_shared
 from termloom.llm.words import gather_runs, segment_sums, slices, split_words
 
-CACHED_WORDS = 500_000
+CACHED_WORDS, CACHED_CHARS = 500_000, 1 << 24
 #: Larger slices than elsewhere: a slice's different words are looked up once.
 SLICE_BYTES = 4 << 20
 
@@ -44,8 +44,8 @@ class WordTokenizer:
     digits and runs of other characters apart.
 
     Texts of plain characters are cut into these parts, which recur far more than words do; other texts are cut
-    at white space only. Each different part or word is encoded once and kept, up to ``CACHED_WORDS`` of them;
-    then the store starts anew.
+    at white space only. Each different part or word is encoded once and kept, up to ``CACHED_WORDS`` of them or
+    ``CACHED_CHARS`` characters; then the store starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,12 +57,14 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids = np.zeros(1 << 20, "<u4")
         self.ends = np.zeros(1 << 18, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         number = len(self.known)
+        self.chars += sum(map(len, new))
         start = int(self.ends[number - 1]) if number else 0
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(lengths.sum())
@@ -76,7 +78,7 @@ class WordTokenizer:
 
     def words(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word start in ``self.ids``, and how many it has."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self._clear()
         new = [word for word in unique if word not in self.known]
         if new:
@@ -147,7 +149,8 @@ def pack(
 
     A null or empty text is one piece with ``end_id`` alone. Rows with null or repeated ids are packed like any
     others, each on its own. An empty table gives an empty result. Ties (pieces of one length) are placed in the
-    order of the scan's tasks. Other columns of ``docs`` are not read. The tokenizer must be one whose tokens
+    order of the scan's tasks. Other columns of ``docs`` are not read. A text of any length is tokenised whole and cut
+    into full windows and a rest. The tokenizer must be one whose tokens
     never span white space.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

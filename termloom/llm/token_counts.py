@@ -28,6 +28,8 @@ SPACE = "▁"
 #: Fixed value of the unigram encoder: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 CACHED_PARTS = 500_000
+#: Longer parts hardly recur and are not kept.
+CACHED_CHARS = 256
 CUT = "\x1f"
 
 
@@ -73,6 +75,8 @@ class UnigramCounter:
         return count[here]
 
     def part(self, part: str) -> int:
+        if len(part) > CACHED_CHARS:
+            return self.viterbi(part)
         found = self.known.get(part)
         if found is None:
             if len(self.known) > CACHED_PARTS:
