@@ -26,4 +26,4 @@ def clashing(df, *names):
     return df
 
 
-NAMES = ("key", "node", "doc", "size", "hash", "band", "bucket", "keep_id", "score", "n", "place", "gone", "lines", "text_key", "held_out", "norm", "draw", "block", "shard", "items", "page", "host", "path", "rule")
+NAMES = ("key", "node", "doc", "size", "hash", "band", "bucket", "keep_id", "score", "n", "place", "gone", "lines", "text_key", "held_out", "norm", "draw", "block", "shard", "items", "page", "host", "path", "rule", "stays", "row", "row_id", "row_key", "owner", "slot", "part", "bits", "tokens", "words", "copies", "links", "keeps", "target", "source_no", "item", "fit", "held", "turn", "label", "pick", "length", "task", "start")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from helpers import NAMES, SF, by_id, clashing, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,9 +82,73 @@ def test_counts_of_odd_texts(spark):
     assert token_counts(docs(spark, []), MODEL).collect() == []
 
 
+def test_counting_a_long_text_without_spaces_takes_little_memory():
+    import tracemalloc
+
+    counter = UnigramCounter({"ab": -1.0, "a": -3.0, "b": -3.0, "abab": -1.5})
+    text = "ab" * 200_000
+    tracemalloc.start()
+    assert counter.texts(pa.array([text])).tolist() == [100_001]  # a space mark that is unknown counts as its bytes less
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
+    assert not any(len(part) > 1000 for part in counter.known)
+
+
+def test_texts_with_the_cut_mark_do_not_slow_others(monkeypatch):
+    counter = counter_of(MODEL)
+    seen = []
+    whole = counter.whole
+    monkeypatch.setattr(counter, "whole", lambda texts: seen.append(len(texts)) or whole(texts))
+    texts = ["plain words", "with \x1f mark", None, "more words", "\x1f"]
+    other = unigram(counter.pieces)
+    assert counter.texts(pa.array(texts)).tolist() == [len(other.encode(marked(t or "")).ids) for t in texts]
+    assert seen == [2]
+
+
 # Language
 
 
+def brute_grams(text):
+    """N-grams of a text, one by one."""
+    out = []
+    for word in re.split(r"[ \t\n\x0b\f\r]+", text or ""):
+        run = ""
+        for char in word.lower() + " ":
+            if char.isalpha():
+                run += char
+            elif run:
+                padded = f" {run} "
+                out += [padded[i : i + n] for n in language.GRAMS for i in range(len(padded) - n + 1)]
+                run = ""
+    return out
+
+
+def test_languages_like_sets_of_strings(spark):
+    """The filters against a set of n-grams per language, and whole outputs against exact counts."""
+    rows = duck(SF).sql("SELECT doc_id, text, lang FROM documents").fetchall()
+    known = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            known.setdefault(lang, set()).update(brute_grams(text))
+    found = by_id(queries.QUERIES["op10_language"](spark, SF))
+    clear = 0
+    for doc_id, text, _ in rows:
+        grams = brute_grams(text)
+        r = found[doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = {lang: sum(g in own for g in grams) for lang, own in known.items()}
+        first, second = sorted(counts.values(), reverse=True)[:2]
+        assert abs(r.score - counts[r.lang_pred] / sum(counts.values())) < 0.02
+        assert counts[r.lang_pred] >= first - 0.03 * len(grams)
+        if first - second > 0.03 * len(grams):
+            clear += 1
+            assert counts[r.lang_pred] == first
+    assert clear > 0.8 * len(rows)
+
+
 def test_word_grams():
     hashes, owner, letters = word_grams(["Ab", "x1yz", "!"])
     assert letters.tolist() == [2, 3, 0]
@@ -143,6 +209,58 @@ def test_held_out_languages_are_not_learned(spark):
 # Quality
 
 
+def brute_score(text, model):
+    """A text's score, word by word."""
+    apart = regex.sub(r"(\p{N}+|[^\t\n\f\r \p{L}\p{N}]+)", r" \1 ", text or "")
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", apart) if w]
+    total, kinds, repeats = np.zeros(quality.DIMENSIONS), set(), 0
+    for i, word in enumerate(words):
+        if word[0].isalpha():
+            own = zlib.crc32(f"letters {word.lower()}".encode())
+            if word.islower():
+                case = "lower"
+            elif word.isupper():
+                case = "upper" if len(word) > 1 else "capital"
+            else:
+                case = "title" if word[0].isupper() and word[1:].islower() else "mixed"
+        else:
+            own, case = zlib.crc32((f"digits {len(word)}" if word[0].isnumeric() else f"symbols {word}").encode()), "none"
+        kinds.add(own % quality.BUCKETS)
+        total += model.table[own % quality.BUCKETS] + model.table[zlib.crc32(f"case {case}".encode()) % quality.BUCKETS]
+        repeats += i > 0 and words[i - 1] == word
+    n = max(1, len(words))
+    mean = total / (2 * quality.SCALE * n)
+    x = [*mean, np.sqrt((mean**2).sum()), np.log1p(len(words)) / 8, len(kinds) / n, repeats / n]
+    w1, b1, w2, b2 = model.layers
+    hidden = [max(0.0, b1[j] + sum((v - a) / s * w1[i, j] for i, (v, a, s) in enumerate(zip(x, model.shift, model.spread, strict=True)))) for j in range(len(b1))]
+    return 1 / (1 + np.exp(-(b2 + sum(h * w for h, w in zip(hidden, w2, strict=True))) / model.temperature))
+
+
+def test_scores_like_word_by_word(spark):
+    frame, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.learn(frame.select("doc_id", "text"), labels.select("doc_id", "quality"), 4, 2, 10_000)
+    found = by_id(score_quality(frame, labels))
+    for r in frame.select("doc_id", "text").collect():
+        want = brute_score(r.text, model)
+        assert found[r.doc_id].score == pytest.approx(want, abs=1e-7)
+        assert found[r.doc_id].predicted == (want >= 0.7)
+
+
+def test_contexts_like_pair_by_pair():
+    texts = ["a b c a b", "", "B ! 12 a", "x"]
+    index = quality.index_vectors()
+    words = quality.runs(pa.array(texts))
+    own, _ = quality.word_buckets(words.unique)
+    want = np.zeros((quality.BUCKETS, quality.DIMENSIONS), np.int64)
+    for a, b in zip(words.offsets, words.offsets[1:], strict=False):
+        stream = [own[i] for i in words.index[a:b]]
+        for i, word in enumerate(stream):
+            for j in range(max(0, i - quality.NEAR), min(len(stream), i + quality.NEAR + 1)):
+                if j != i:
+                    want[word] += index[stream[j]]
+    assert np.array_equal(quality.context_sums(words, index), want)
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = dict(duck(sf).sql("SELECT doc_id, quality FROM labels").fetchall())

@@ -99,3 +99,30 @@ def test_stages_on_odd_documents(spark, tmp_path):
     assert set(kept) == {1, 3, None, 5} and kept.count(1) == 2
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
     assert left.keys() == {1, 3, 4, None, 5, 6} and left[3] is None and left[6] == "\n\n"
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Rows that share an id, or have none, go or stay by their own texts."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    near = one.replace("a29", "other")
+
+    def stays(own):
+        frame = clashing(docs(spark, own), *NAMES)
+        made = corpus_pipeline.near_duplicates(spark, frame, "")
+        assert made.columns == frame.columns
+        return sorted(((r.doc_id, r.text) for r in made.collect()), key=str)
+
+    assert stays([(1, one), (2, one), (2, two)]) == [(1, one), (2, two)]
+    assert stays([(1, one), (2, near), (2, two), (2, two)]) == [(1, one), (2, two), (2, two)]
+    assert stays([(1, one), (None, one), (None, near), (None, three)]) == [(1, one), (None, three)]
+    assert stays([(None, one), (None, near), (None, None)]) == [(None, None), (None, one), (None, near)]
+
+
+def test_run_leaves_the_last_documents_only(spark):
+    from termloom.sources.workspace import children, shared_dir
+
+    root = f"{shared_dir(spark)}/termloom"
+    before = set(children(spark, root))
+    corpus_pipeline.run(spark, SF)
+    left = sorted(name.rpartition("-")[0] for name in set(children(spark, root)) - before)
+    assert left == ["pack-counts", "pack-pieces", "pipeline-mixing"]
