@@ -117,15 +117,3 @@ def _scored(index: Index, algorithm: Algorithm, bag: dict[str, int], query: Quer
         length = math.sqrt(sum((q * w) ** 2 for _, q, w in weights))
         score = score / (F.lit(length) * F.coalesce("norm", F.lit(0.0)) + F.lit(EPSILON))
     return hits.select("key", score.alias("score"), "doc_len")
-
-
-def batch_dot(index: Index, queries: DataFrame) -> DataFrame:
-    """Dot products of many bags at once: (query, key, score, doc_len) for all documents with common terms.
-
-    ``queries`` has rows (query, term, q). One join by term serves them all; its size is that of the postings that
-    the queries' terms have.
-    """
-    weights = queries.join(index.idf(), "term").select("query", "term", index.read_tf(F.col("q")).cast("double").alias("q"), F.col("idf").cast("double").alias("w"))
-    both = index.postings.join(weights, "term")
-    part = F.col("q") * index.read_tf(F.col("tf")).cast("double") * F.col("w") * F.col("w")
-    return both.groupBy("query", "key").agg(F.sum(part).alias("score"), F.max("doc_len").alias("doc_len"))

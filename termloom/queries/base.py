@@ -18,8 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: By application and folder, the state of the table that the index was built from, and the index. One application's.
-_STORED: dict[tuple[str, str], tuple[tuple, Index]] = {}
+#: By application, folder and name, the state of the folder's documents, and what was stored of them. One application's.
+_STORED: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def once[T](spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What ``make`` stores, made once per session and state of the table of documents."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), stamp(spark, f"{sf_dir}/documents.parquet")
+    if key not in _STORED or _STORED[key][0] != state:
+        for old in [k for k in _STORED if k[0] != key[0]]:
+            del _STORED[old]
+        _STORED[key] = (state, make())
+    return _STORED[key][1]
 
 
 def build_index(spark: SparkSession, sf_dir: str) -> Index:
@@ -27,14 +37,8 @@ def build_index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``documents``: built and saved once per session and state of the table, then read from its
-    snapshot."""
-    key, state = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/documents.parquet")
-    if key not in _STORED or _STORED[key][0] != state:
-        for old in [k for k in _STORED if k[0] != key[0]]:
-            del _STORED[old]
-        _STORED[key] = (state, build_index(spark, sf_dir).save(new_path(spark, "index")))
-    return _STORED[key][1]
+    """The index of ``documents``, read from a snapshot."""
+    return once(spark, sf_dir, "index", lambda: build_index(spark, sf_dir).save(new_path(spark, "index")))
 
 
 def keys_of(index: Index) -> DataFrame:

@@ -183,8 +183,10 @@ class Index:
         if new:
             if len(self.frequencies) > KEPT_TERMS:
                 self.frequencies.clear()
-            vocab, held = (t.where(F.col("term").isin(new)) for t in (self.vocab, self.corpus.terms))
-            found = {r.term: r.df or 0 for r in vocab.join(held, "term", "left").collect()}
+            held = self.corpus.terms.where(F.col("term").isin(new))
+            if not self.own_vocab:
+                held = self.vocab.where(F.col("term").isin(new)).join(held, "term", "left")
+            found = {r.term: r.df or 0 for r in held.collect()}
             self.frequencies.update({t: found.get(t) for t in new})
         return {t: self.frequencies[t] for t in terms if self.frequencies.get(t) is not None}
 

@@ -14,7 +14,7 @@ from termloom.functions.weights import EXACT, F16, U16, U32, plain_idf
 from termloom.operators import hits
 from termloom.operators.batch import batch_search
 from termloom.operators.corpus import Corpus
-from termloom.operators.search import BM25, Contains, Cosine, Dot, batch_dot, search, similarity
+from termloom.operators.search import BM25, Contains, Cosine, Dot, search, similarity
 from termloom.plans.query import And, Everything, Not, Nothing, Or, Term, all_of, any_of, parse
 from termloom.sources.index import Index
 from termloom.sources.segments import Segments
@@ -169,14 +169,6 @@ def test_snapshots(spark, small, tmp_path):
     assert "PartitionFilters: [isnotnull(term_bucket" in plan or "PartitionFilters: [(term_bucket" in plan or "term_bucket" in plan.split("PartitionFilters")[1][:200]
 
 
-def test_batch_is_single_searches(spark, small):
-    queries = spark.createDataFrame([(1, "rust", 2), (1, "安全", 1), (2, "高速", 1), (3, "none", 1)], "query int, term string, q long")
-    got = {(r.query, r.key): r.score for r in batch_dot(small, queries).collect()}
-    want = {(1, k): v for k, v in found(similarity(small, Dot(), {"rust": 2, "安全": 1})).items()}
-    want |= {(2, k): v for k, v in found(similarity(small, Dot(), {"高速": 1})).items()}
-    assert got == pytest.approx(want)
-
-
 @pytest.fixture(scope="module")
 def four(spark, small, tmp_path_factory):
     return small.merge(index_of(spark, "doc1", "doc4")).save(str(tmp_path_factory.mktemp("four") / "index"), buckets=2)
