@@ -116,7 +116,10 @@ def nearest(
     doubles = "double" in dict(rows.dtypes)[vector_col]
     dtype, kind = ("<f8", "array<double>") if doubles else ("<f4", "array<float>")
     vector = F.col("vector")
-    usable = F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # Whether an array contains a value that it has not is null if it has nulls; NaN is its own maximum.
+    endless = F.lit(float("inf")).cast(kind.removeprefix("array<").removesuffix(">"))
+    most, least = F.array_max(vector), F.array_min(vector)
+    usable = ~F.array_contains(vector, endless) & ~F.isnan(most) & (least > -endless) & ((most != 0) | (least != 0))
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     own = own.where(F.col("vec_id").isNotNull() & vector.isNotNull()).where(usable).distinct()
 
