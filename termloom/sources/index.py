@@ -21,8 +21,8 @@ from termloom.sources.workspace import remove
 KEPT_TERMS = 100_000
 #: Most postings of one term in a task that writes them.
 SLICE_ROWS = 1 << 20
-#: Postings in a folder, about.
-FOLDER_ROWS = 1 << 24
+#: Postings in a folder, and in a task that writes, about.
+FOLDER_ROWS, TASK_ROWS = 1 << 24, 1 << 22
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -290,11 +290,12 @@ class Index:
         index = replace(index, bound_vocab=vocab, bound_corpus=corpus, own_vocab=facts["own_vocab"])
         if with_corpus:
             facts |= {"added": corpus.added, "removed": corpus.removed}
-        parts = max(buckets, spark.sparkContext.defaultParallelism)
+        shares = max(1, -(-rows // (buckets * TASK_ROWS)))  # tasks that a folder is dealt to
+        parts = max(buckets * shares, spark.sparkContext.defaultParallelism)
         rows = staged
         if with_corpus:
             rows = rows.join(index.norms(), "key", "left").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
-        rows = rows.withColumn("key_bucket", index._key_bucket(F.col("key"))).repartition(parts, "key_bucket")
+        rows = rows.withColumn("key_bucket", index._key_bucket(F.col("key"))).repartition(parts, "key_bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shares)))
         rows.sortWithinPartitions("key_bucket", "key").write.partitionBy("key_bucket").parquet(f"{path}/documents")
         facts["documents"] = rows.schema.jsonValue()
         rows = unfold(spark.read.schema(rows.schema).parquet(f"{path}/documents"), *(["norm"] if with_corpus else []))
@@ -302,7 +303,8 @@ class Index:
         often = terms.where(F.col("df") > slice_rows).select("term", F.ceil(F.col("df") / slice_rows).alias("slices"))
         rows = rows.join(often, "term", "left").withColumn("slice", F.pmod(F.xxhash64("key"), F.coalesce("slices", F.lit(1))))
         rows = rows.withColumn("term_bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-        rows = rows.repartition(parts, "term_bucket", "slice").drop("slice", "slices").sortWithinPartitions("term_bucket", "term", "key")
+        rows = rows.repartition(parts, "term_bucket", F.pmod(F.xxhash64("term"), F.lit(shares)), "slice")
+        rows = rows.drop("slice", "slices").sortWithinPartitions("term_bucket", "term", "key")
         rows.write.partitionBy("term_bucket").parquet(f"{path}/postings")
         facts["postings"] = rows.schema.jsonValue()
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
