@@ -99,7 +99,7 @@ def nearest(
     query_block: int = 1 << 18,
     links: int = 16,
     width: int = 24,
-    beam: int = 1024,
+    beam: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_mod``, its ``k`` nearest.
 
@@ -109,7 +109,7 @@ def nearest(
     and vector count once. An id with several vectors has one answer and is at most one hit of another's: two ids
     are as near as the nearest of their vectors, and an id is no hit of its own. With fewer candidates than ``k``
     all are returned; an empty table gives an empty result. Very long vectors make shards of fewer nodes. Other
-    columns of ``rows`` are not read. ``beam`` must be above ``k``. ``shard_bytes`` is what the vectors and links
+    columns of ``rows`` are not read. ``beam`` must be above ``k``; full shards need it wide. ``shard_bytes`` is what the vectors and links
     of a shard take; a build task needs about three times as much.
     """
     spark = rows.sparkSession
