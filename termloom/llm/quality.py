@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
     hashed = marked.withColumn("pick", F.xxhash64("doc_id"))
     chosen = F.broadcast(hashed.sort("pick", "doc_id").limit(sample_docs))  # sample_docs rows of three numbers
     sample = docs.join(chosen, "doc_id").groupBy("doc_id", "pick", "label").agg(F.max("text").alias("text"))
-    sample = write_shared(sample.coalesce(8), "quality-sample")  # 8 tasks: so many partial tables come to the driver
+    sample = write_shared(sample.coalesce(8), "quality-sample")  # 8 tasks: so many partial tables are summed in one
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
@@ -203,8 +203,17 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
                 sums += context_sums(runs(part.column("text")), index)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+        for batch in batches:
+            for part in batch.column("sums"):
+                sums += np.frombuffer(part.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    # One table of 4 MB comes to the driver, and of each document one row of bytes.
+    partial = sample.select("text").coalesce(8).mapInArrow(contexts, "sums binary")
     sums = np.zeros((BUCKETS, DIMENSIONS), np.int64)
-    for row in sample.select("text").coalesce(8).mapInArrow(contexts, "sums binary").collect():
+    for row in partial.repartition(1).mapInArrow(added, "sums binary").collect():
         sums += np.frombuffer(row[0], np.int64).reshape(BUCKETS, DIMENSIONS)
     norms = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
     near = np.rint(sums * (SCALE * NONZERO**0.5) / np.maximum(norms, 1e-9))
@@ -215,13 +224,15 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sa
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = pooled(runs(part.column("text")), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("label"), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["pick", "label", "x"])
+                packed = pa.array([row.tobytes() for row in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("label"), packed], names=["pick", "label", "x"])
 
-    rows = sorted(sample.select("pick", "label", "text").mapInArrow(features, "pick long, label double, x array<double>").collect())
+    rows = sorted(sample.select("pick", "label", "text").mapInArrow(features, "pick long, label double, x binary").collect())
+    shared.destroy()
     if not rows:
         return QualityModel(table, None, np.zeros(1), np.ones(1), 1.0)
     pick = np.array([r[0] for r in rows], np.int64)
-    return fit_model(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), pick % 5 == 0, table)
+    return fit_model(np.array([np.frombuffer(r[2]) for r in rows]), np.array([r[1] for r in rows]), pick % 5 == 0, table)
 
 
 def score_quality(

@@ -263,6 +263,23 @@ def test_contexts_like_pair_by_pair():
     assert np.array_equal(quality.context_sums(words, index), want)
 
 
+def test_quality_sends_one_table_to_the_driver(spark, monkeypatch):
+    """However many tasks count contexts, one table of sums comes to the driver, and features come as bytes."""
+    frame, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    got, kind = [], type(frame)
+    monkeypatch.setattr(kind, "collect", lambda self, collect=kind.collect: got.append(collect(self)) or got[-1])
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the sample has several files
+    try:
+        quality.learn(frame.select("doc_id", "text"), labels.select("doc_id", "quality"), 4, 2, 10_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    sums, features = got
+    assert [len(r.sums) for r in sums] == [8 * quality.BUCKETS * quality.DIMENSIONS]
+    assert features and {len(r.x) for r in features} == {8 * (quality.DIMENSIONS + 4)}
+    assert all(isinstance(r.x, (bytes, bytearray)) for r in features)
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = dict(duck(sf).sql("SELECT doc_id, quality FROM labels").fetchall())
