@@ -210,6 +210,18 @@ def test_display(spark):
     assert hits.display(frame).first().line == 'score: 0.123457\tdoc_len: 7\tkey: "a\\"b\\\\c"'
 
 
+def test_display_rounds_as_printf_does(spark):
+    import random
+
+    rng = random.Random(7)
+    values = [0.125, 0.375, 1.005, 2.675, 0.015, -0.125, -0.005, -0.001, 0.0, 0.995, 1e-320, 123456.125, 7e12 + 0.125, 1e17]
+    values += [round(rng.uniform(-20, 20), 6) for _ in range(300)] + [rng.randrange(-9999, 9999) / 1000 + 0.0005 * rng.randrange(2) for _ in range(300)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], "key long, score double, doc_len long")
+    for digits in (0, 2, 3, 6):
+        shown = [r.line.split("\t")[0] for r in hits.display(frame.repartition(1).orderBy("key"), digits=digits).collect()]
+        assert shown == [f"score: {v:.{digits}f}" for v in values]
+
+
 def test_unchecked_search_keeps_old_weights(spark, small, tmp_path):
     frozen = small.freeze(str(tmp_path / "weights"))
     before = found(search(frozen, Dot(), Term("rust")))
