@@ -27,6 +27,13 @@ class Corpus:
         terms = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return Corpus(terms, lambda: present.select("key").distinct().count())
 
+    @staticmethod
+    def of_folded(rows: DataFrame) -> Corpus:
+        """Statistics of bags in the folded form, with a row for each key. Terms are counted where the rows are, so that
+        what is shuffled has a row per term and task."""
+        terms = rows.select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return Corpus(terms, lambda: rows.where(F.size("terms") > 0).count())
+
     @property
     def added(self) -> int:
         if callable(self._added):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.text import tokens
 from termloom.operators import bags
 from termloom.sources.index import Index
 from termloom.sources.workspace import new_path, stamp
@@ -32,8 +33,20 @@ def once[T](spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T])
     return _STORED[key][1]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. Of a table that Spark reads in fewer parts than there are cores, rows are dealt out."""
+    rows, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    parts = rows._jdf.queryExecution().toRdd().getNumPartitions()  # of a scan alone: nothing runs
+    return rows if parts >= cores else rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+
+
 def build_index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(table(spark, sf_dir, "documents"), "doc_id", "text", unique=True)
+    return Index.build(documents(spark, sf_dir), "doc_id", "text", unique=True)
+
+
+def folded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of ``documents`` in the folded form, counted as the texts are read: nothing is stored or shuffled."""
+    return build_index(spark, sf_dir).forward
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
@@ -49,6 +62,12 @@ def benchmark_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.from_text(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def folded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``turn_bags`` in the folded form."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), tokens("text").alias("terms"))
+    return bags.folded(turns.groupBy("key").agg(F.flatten(F.collect_list("terms")).alias("terms"))).where(F.size("terms") > 0)
+
+
 def turn_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bags of conversations, all turns of one together."""
     return bags.from_text(table(spark, sf_dir, "conversations"), "conv_id", "text")
