@@ -24,6 +24,13 @@ from termloom.sources.index import Index, unfold
 from termloom.sources.workspace import children, remove
 
 KINDS = ("segment", "gone", "terms")
+#: Most keys that are sent to all executors, so that the documents that they are looked up in are not shuffled.
+SENT_KEYS = 1 << 20
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """Stored keys: broadcast if there are ``SENT_KEYS`` at most, otherwise to be joined as Spark sees fit."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
 
 
 @dataclass(frozen=True)
@@ -71,8 +78,7 @@ class Segments:
         later = [n for n in self.gone if n > part]
         if not later:
             return rows
-        gone = self.spark.read.parquet(*[self._path("gone", n) for n in later]).distinct()
-        return rows.join(gone, "key", "left_anti")
+        return rows.join(_sent(self.spark.read.parquet(*[self._path("gone", n) for n in later])), "key", "left_anti")
 
     def _read(self, name: str) -> DataFrame | None:
         stored = [Index.load(self.spark, self._path("segment", n), Corpus.empty(self.spark)) for n in self.parts]
@@ -104,7 +110,7 @@ class Segments:
             stored = new.save(self._path("segment", number), self.buckets, with_corpus=False)
         keys = [t.select("key") for t in (stored and stored.docs, gone) if t is not None]
         reduce(DataFrame.union, keys).distinct().write.parquet(self._path("gone", number))
-        keys = self.spark.read.parquet(self._path("gone", number))
+        keys = _sent(self.spark.read.parquet(self._path("gone", number)))
 
         def facts(docs: DataFrame) -> tuple:
             return docs.agg(F.count(F.lit(1)), F.count_if(F.col("n_terms") > 0), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
