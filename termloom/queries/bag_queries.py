@@ -87,7 +87,7 @@ QUERIES: dict[str, Query] = {
     "tf_encode_u32": tf_coded(U32, False),
     "tf_remove_by_total": lambda s, d: named(bags.removed_total(_own(s, d), (F.col("tf") < 2) | (F.length("term") > 12))),
     "tf_roundtrip": round_trip,
-    "tf_empty": lambda s, d: named(bags.add(_own(s, d), bags.empty(s))),
+    "tf_empty": lambda s, d: named(bags.unfolded(bags.add_folded(folded_documents(s, d), bags.fold(bags.empty(s))))),
 }
 
 _P = INDEX_SQL
