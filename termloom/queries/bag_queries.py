@@ -69,7 +69,7 @@ QUERIES: dict[str, Query] = {
     "tf_map": tf_map,
     "tf_vector": lambda s, d: _text_pairs(bags.as_vector(_own(s, d))),
     "tf_lookup": lambda s, d: named(bags.term_count(_own(s, d), keys_of(index_of(s, d)), "the")),
-    "tf_most_frequent": lambda s, d: named(bags.most_frequent(_own(s, d))),
+    "tf_most_frequent": lambda s, d: named(bags.most_frequent_folded(folded_documents(s, d))),
     "tf_max_count": lambda s, d: named(bags.statistics_folded(folded_documents(s, d)), "doc_id", "max_tf"),
     "tf_contains": lambda s, d: named(bags.contains_term(_own(s, d), keys_of(index_of(s, d)), "the")),
     "tf_term_set": lambda s, d: bags.term_set(_own(s, d)).select(F.col("key").alias("doc_id"), F.array_join("terms", " ").alias("terms")),
