@@ -76,8 +76,8 @@ QUERIES: dict[str, Query] = {
     "tf_stopwords": lambda s, d: named(bags.remove_terms(_own(s, d), STOP)),
     "tf_stopwords_removed": lambda s, d: named(bags.removed_total(_own(s, d), STOP)),
     "tf_remove_by": lambda s, d: named(bags.remove_by(_own(s, d), (F.col("tf") < 2) | (F.length("term") > 12))),
-    "tf_sorted_freq": lambda s, d: named(bags.sorted_by_count(_own(s, d))),
-    "tf_sorted_dict": lambda s, d: named(bags.sorted_by_term(_own(s, d))),
+    "tf_sorted_freq": lambda s, d: named(bags.sorted_by_count_folded(folded_documents(s, d))),
+    "tf_sorted_dict": lambda s, d: named(bags.sorted_by_term_folded(folded_documents(s, d))),
     "tf_unique_ratio": lambda s, d: named(bags.statistics_folded(folded_documents(s, d)), "doc_id", "unique_ratio"),
     "tf_probability": lambda s, d: named(bags.probabilities(_own(s, d))),
     "tf_probability_term": lambda s, d: named(bags.probability(_own(s, d), keys_of(index_of(s, d)), "the")),
