@@ -15,7 +15,7 @@ STOP_SQL = "(" + ", ".join(f"'{t}'" for t in STOP) + ")"
 
 
 def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).bags
+    return bags.unfolded(folded_documents(spark, sf_dir))
 
 
 def _text_pairs(df: DataFrame) -> DataFrame:
@@ -44,12 +44,12 @@ def tf_coded(engine, decode: bool) -> Query:  # noqa: ANN001
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bags written as Parquet, that as JSON, and read again."""
+    """Bags written as Parquet, that as JSON, and read again. A bag is a row of its terms and their counts."""
     path = new_path(spark, "bags")
-    _own(spark, sf_dir).write.parquet(f"{path}/parquet")
+    folded_documents(spark, sf_dir).select("key", "terms", "tfs").write.parquet(f"{path}/parquet")
     own = spark.read.parquet(f"{path}/parquet")
     own.write.json(f"{path}/json")
-    return named(bags.checked(spark.read.schema(own.schema).json(f"{path}/json")))
+    return named(bags.unfolded(bags.checked_folded(spark.read.schema(own.schema).json(f"{path}/json"))))
 
 
 def event_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
