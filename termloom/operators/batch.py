@@ -23,8 +23,10 @@ from termloom.sources.workspace import new_path
 
 #: Terms of queries, over all queries of a block, that are sent to the executors at once.
 BLOCK_TERMS = 1 << 20
-#: Scores, and parts of scores, that a task holds at a time.
-CELLS, PARTS = 1 << 22, 1 << 22
+#: Scores, and parts of scores, that a task holds at a time: some ten arrays of so many numbers.
+CELLS, PARTS = 1 << 19, 1 << 19
+#: Terms of documents that are looked up at a time.
+LOOKED_UP = 1 << 18
 
 
 @dataclass
@@ -74,6 +76,16 @@ class Best:
                 del own[k:]
 
 
+def _pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows that have ``LOOKED_UP`` terms together at most, or one row of more."""
+    ends = part.column("terms").offsets.to_numpy().astype(np.int64)
+    start = 0
+    while start < part.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + LOOKED_UP, side="right")) - 1)
+        yield part.slice(start, end - start)
+        start = end
+
+
 def _scores(batch: Batch, algorithm: Dot | Cosine | BM25, mean_len: float, part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, int]]:
     """Scores of a run of documents at a time, and where the run starts and ends."""
     queries = len(batch.names)
@@ -103,11 +115,13 @@ def _scores(batch: Batch, algorithm: Dot | Cosine | BM25, mean_len: float, part:
         cell = batch.query[which] * (end - start) + np.repeat(doc[lo:hi] - start, times)
         size = queries * (end - start)
         score = np.bincount(cell, np.repeat(tf[lo:hi], times) * batch.factor[which], minlength=size).reshape(queries, -1)
-        met = np.bincount(cell, minlength=size).reshape(queries, -1) > 0
         if isinstance(algorithm, Cosine):
             norms = part.column("norm").to_numpy()[start:end]
-            score = score / (batch.lengths[:, None] * norms[None, :] + EPSILON)
-        yield np.where(met, score, -np.inf), start, end
+            score /= batch.lengths[:, None] * norms[None, :] + EPSILON
+        apart = np.ones(size, dtype=bool)
+        apart[cell] = False
+        score[apart.reshape(queries, -1)] = -np.inf
+        yield score, start, end
         start = end
 
 
@@ -143,11 +157,11 @@ def batch_search(index: Index, algorithm: Dot | Cosine | BM25, queries: DataFram
             if not len(own.names):
                 return
             kept = Best(len(own.names), k)
-            for part in batches:
+            for part in (piece for whole in batches for piece in _pieces(whole)):
                 keys = part.column("key").to_pylist()
                 for scores, a, b in _scores(own, algorithm, mean_len, part):
                     if digits is not None:
-                        scores = np.round(scores, digits)
+                        scores = np.round(scores, digits, out=scores)
                     kept.take(scores, keys[a:b], part.column("doc_len").to_numpy()[a:b])
             rows = [(query, r[1], r[3], r[2]) for query, held in enumerate(kept.rows) for r in held]
             if rows:

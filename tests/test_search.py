@@ -410,3 +410,15 @@ def test_norms_of_terms_that_are_not_sent(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(module, "SENT_TERMS", sent)
         saved = Index.build(rows, "key", "text").save(str(tmp_path / f"index{number}"), buckets=2)
         assert {r.key: r.norm for r in saved.norms().collect()} == pytest.approx(plain)
+
+
+def test_a_task_of_batch_search_looks_up_a_bounded_number_of_terms(monkeypatch):
+    import pyarrow as pa
+
+    from termloom.operators import batch
+
+    monkeypatch.setattr(batch, "LOOKED_UP", 4)
+    rows = pa.record_batch({"key": list(range(7)), "terms": [["a"], ["a", "b", "c"], [], ["d"] * 9, ["e", "f"], ["g", "h"], ["i"]]})
+    pieces = list(batch._pieces(rows.slice(0)))
+    assert pa.Table.from_batches(pieces).to_pylist() == rows.to_pylist()
+    assert all(p.num_rows == 1 or len(p.column("terms").flatten()) <= 4 for p in pieces) and len(pieces) == 4
